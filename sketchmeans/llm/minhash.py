@@ -8,8 +8,8 @@
    a bucket of n nodes makes n - 1 pairs. Pairs whose collision-corrected estimate is far below the threshold go; the
    rest are checked on their full sets.
 4. A star can miss a link between two members that are not linked to its center. So buckets of three or more that the
-   links leave in several parts are searched again, in tiles of at most TILE nodes, for pairs across parts, and these
-   are checked too. No bucket is capped.
+   links leave in several parts are searched again with their full sets, in tiles of some TILE nodes, for links across
+   parts. A task compares pairs but gives back links alone, fewer than it has nodes. No bucket is capped.
 5. Components come from large-star and small-star rounds, each a grouped minimum and an equi-join, cut by checkpoint().
 """
 
@@ -29,8 +29,8 @@ THRESHOLD = 80
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 REGISTERS = 1 << BUCKET_BITS
 BANDS, ROWS = 42, 6
-#: Pairs whose estimate is below the threshold by more than this are not checked; over eight standard errors.
-SLACK = 0.25
+#: Pairs whose estimate is below the threshold by more than this are not checked; over six standard errors.
+SLACK = 0.15
 TILE = 4096
 #: Ids up to this number are broadcast (some 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -172,42 +172,66 @@ def _verify(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one bucket with different labels whose sketches are alike; members: band, node, label, size, registers."""
+def _cross_links(members: DataFrame, threshold: int) -> DataFrame:
+    """Links of one bucket between nodes with different labels; members: band, node, label, size, registers, shingle_set.
+
+    A pair that shares several bands is compared in the first of them only, estimates come before exact checks, and a
+    pair that links found in the task already connect is skipped: a tile of n nodes gives fewer than n links.
+    """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
     own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A node of block k goes to every tile (k, j) and (j, k): for all but buckets over TILE that is one tile.
-    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "other").alias("tile_a"), F.greatest("block", "other").alias("tile_b"), "block", "node", "label", "registers")
+    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "other").alias("tile_a"), F.greatest("block", "other").alias("tile_b"), "block", "node", "label", "registers", "shingle_set")
     dealt = tiles.repartition("band", "tile_a", "tile_b").sortWithinPartitions("band", "tile_a", "tile_b", "block", "node")
 
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        rows = list({r[4]: r for r in rows}.values())
+        rows = list({(r[4], r[6]): r for r in rows}.values())
         two = rows[0][1] != rows[0][2]
         nodes, labels = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        regs, blocks = np.stack([np.frombuffer(r[6], np.uint16) for r in rows]), np.array([r[3] for r in rows])
         names, counts = np.unique(labels, return_counts=True)
+        if len(names) == 1:
+            return
         main = names[counts.argmax()]
-        for i in np.flatnonzero(labels != main) if len(names) > 1 else []:
+        regs, blocks = np.stack([np.frombuffer(r[6], np.uint16) for r in rows]), np.array([r[3] for r in rows])
+        sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        band = int(np.flatnonzero(band_hashes(regs[:1])[0] == rows[0][0])[0])
+        before = regs[:, : band * ROWS].reshape(len(rows), band, ROWS)
+        above: dict[int, int] = {}
+
+        def part(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
+
+        for i in np.flatnonzero(labels != main):
             # Two nodes outside the main part meet once, from the smaller; the tile of two blocks joins across them only.
-            near = (labels != labels[i]) & ((labels == main) | (nodes > nodes[i])) & ((blocks != blocks[i]) if two else True)
-            js = np.flatnonzero(near)
+            js = np.flatnonzero((labels != labels[i]) & ((labels == main) | (nodes > nodes[i])) & ((blocks != blocks[i]) if two else True))
             equal = (regs[js] == regs[i]).sum(axis=1)
-            for j in js[equal >= (threshold / 100 - SLACK) * REGISTERS]:
-                yield (min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])))
+            near = (estimate(equal, sizes[js], sizes[i]) >= threshold / 100 - SLACK) & (100 * np.minimum(sizes[js], sizes[i]) >= threshold * np.maximum(sizes[js], sizes[i]))
+            js, equal = js[near], equal[near]
+            if band and len(js):
+                first = ~(before[js] == before[i]).all(axis=2).any(axis=1)
+                js, equal = js[first], equal[first]
+            for j in js[np.argsort(-equal, kind="stable")]:
+                a, b = part(int(labels[i])), part(int(labels[j]))
+                if a == b:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= threshold * (sizes[i] + sizes[j] - both):
+                    above[max(a, b)] = min(a, b)
+                    yield (min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])))
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         key, rows, out = None, [], []
         for batch in it:
-            for r in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+            for r in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 if r[:3] != key:
                     out += compare(rows) if rows else []
                     key, rows = r[:3], []
                 rows.append(r)
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-                out = []
         out += compare(rows) if rows else []
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -257,9 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = members.where(F.col("size") > 2).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("band")
     again = checkpoint(labelled.join(split, "band", "left_semi").select("band", "node", "label", "size"))
-    registers = _among(able.withColumnRenamed("id", "node"), "node", again.select("node").distinct()).select("node", "registers")
-    cross = checkpoint(_cross_pairs(again.join(registers, "node"), threshold).join(stars, ["a", "b"], "left_anti"))
-    every = links.union(_verify(cross, named, threshold))
+    sets_again = _features(_among(named, "id", checkpoint(again.select(F.col("node").alias("id")).distinct())), True).select(F.col("id").alias("node"), "registers", "shingle_set")
+    every = links.union(_cross_links(again.join(sets_again, "node"), threshold))
     roots = connected_components(every)
     return (
         features.join(sets, ["set_a", "set_b"], "left")
