@@ -60,7 +60,8 @@ def rows_udf(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column
             return pd.Series([], dtype=object)
         return pd.Series(list(f(np.stack([np.asarray(v, float) for v in x]))))
 
-    return run
+    # Marked so, or Spark infers a filter over it below an explode, which it can't evaluate there.
+    return run.asNondeterministic()
 
 
 class Transform:

@@ -46,8 +46,7 @@ def vectors(spark: SparkSession, sf_dir: str, p: int = P) -> DataFrame:
 
 
 def long(df: DataFrame, column: str = "x") -> DataFrame:
-    # The outer form: for the inner one Spark infers a filter that it can't evaluate over a Python function.
-    return df.select("id", F.posexplode_outer(column).alias("j", "v")).select("id", "j", r6(F.col("v"), "v"))
+    return df.select("id", F.posexplode(column).alias("j", "v")).select("id", "j", r6(F.col("v"), "v"))
 
 
 def long_sketch(df: DataFrame, scale: float = 1.0) -> DataFrame:
