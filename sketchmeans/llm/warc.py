@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
-from sketchmeans.llm.common import new_path, text_of
+from sketchmeans.llm.common import checkpoint, new_path, text_of
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
+#: Revisits up to this number are broadcast to the pages, some 100 bytes each; more are joined by a shuffle.
+BROADCAST_REVISITS = 200_000
 #: Date of the records, a parameter of the writer: the same table gives the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, block_digest_ok boolean, content_length long, payload binary"
@@ -31,9 +33,8 @@ HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_ur
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(text: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of the UTF-8 bytes: 5 hex digits are 20 bits, or 4 characters."""
-    digest = F.sha1(text)
+def base32_of(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: 5 hex digits are 20 bits, or 4 characters."""
 
     def quad(g: Column) -> Column:
         bits = F.conv(F.substring(digest, g * 5 + 1, F.lit(5)), 16, 10).cast("int")
@@ -53,14 +54,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     responses. Null payloads are empty; line breaks in a URL become spaces, a null URL is empty. Rows that repeat the
     largest id are responses each; rows without an id rank below all others. An empty table writes an empty folder.
     """
-    body = text_of(body_col)
-    rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "[\r\n]+", " ").alias("uri"), body.alias("body"))
-    digests = pages.select(F.col(id_col).alias("id"), base32_sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
-    first = digests.groupBy("digest", "bytes").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= min_bytes))
-    again = digests.join(first, ["digest", "bytes"]).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "first", "digest").distinct()
+    rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "[\r\n]+", " ").alias("uri"), text_of(body_col).alias("body"))
+    rows = rows.select("*", F.sha1("body").alias("hex"), F.octet_length("body").cast("long").alias("bytes"))
+    first = rows.groupBy("hex", "bytes").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).drop("n")
     # An id may come with several payloads, so the digest is part of the key.
-    named = rows.select("*", base32_sha1(F.col("body")).alias("digest"))
-    joined = named.join(again, named.id.eqNullSafe(again.id) & (named.digest == again.digest), "left").select(named.id, "uri", "body", named.digest, F.col("first"), again.digest.isNotNull().alias("revisit"))
+    again = checkpoint(rows.select("id", "hex", "bytes").join(first, ["hex", "bytes"]).where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("id_"), "first", F.col("hex").alias("hex_")).distinct())
+    few = F.broadcast(again) if again.count() <= BROADCAST_REVISITS else again
+    joined = rows.join(few, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hex") == F.col("hex_")), "left").select("id", "uri", "body", "first", F.col("hex_").isNotNull().alias("revisit"), base32_of(F.col("hex")).alias("digest"))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.when(F.col("revisit"), "revisit").otherwise("response"),
