@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchmeans.functions.hashing import signs
@@ -60,8 +60,22 @@ def rows_udf(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column
             return pd.Series([], dtype=object)
         return pd.Series(list(f(np.stack([np.asarray(v, float) for v in x]))))
 
-    # Marked so, or Spark infers a filter over it below an explode, which it can't evaluate there.
-    return run.asNondeterministic()
+    return run
+
+
+def map_rows(df: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, x) with f over the matrix of each batch's vectors."""
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in it:
+            if batch.num_rows:
+                y = f(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                offsets = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(y).ravel()))], ["id", "x"])
+
+    return df.select("id", "x").mapInArrow(run, "id long, x array<double>")
 
 
 class Transform:

@@ -171,7 +171,7 @@ def mix(spark, d):
 @query(f"WITH {VCUT} SELECT id, j, round(x, 6) + 0.0 AS v FROM w")
 def unmix_roundtrip(spark, d):
     t = T.Transform("hadamard", CUT, SEED)
-    return long(vectors(spark, d, CUT).select("id", t.adjoint_column(t.column(F.col("x"))).alias("x")))
+    return long(T.map_rows(vectors(spark, d, CUT).select("id", t.column(F.col("x")).alias("x")), t.adjoint))
 
 
 @query(f"WITH {VEC}, {C0}, {SIGN}, y AS (SELECT k, i::INTEGER AS j, sum(CASE WHEN bit_count(i & j) % 2 = 0 THEN c ELSE -c END) / 8 AS c FROM c0 CROSS JOIN range({P}) t(i) GROUP BY k, i) SELECT k, j, round(c * s, 6) + 0.0 AS c FROM y JOIN sg USING (j)")
