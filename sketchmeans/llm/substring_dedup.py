@@ -44,6 +44,11 @@ def anchors(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tu
     # A gram is an anchor if it is the least of some span that holds it: then the largest of these minima is the gram.
     edge = np.zeros(span - 1, np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), span, np.maximum) == grams)
+    # In a run of equal grams, as one word over and over makes, one in each span is enough, and the run's last.
+    same = (np.diff(at) == 1) & (grams[at[1:]] == grams[at[:-1]])
+    begun = np.flatnonzero(np.concatenate([[True], ~same]))
+    place = at - np.repeat(at[begun], np.diff(np.concatenate([begun, [len(at)]])))
+    at = at[(place % span == 0) | np.concatenate([~same, [True]])]
     return at, grams[at]
 
 
@@ -109,11 +114,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
                 np.add.at(marks, np.clip(at + 1, 0, n), -1)
                 starts = np.flatnonzero(np.cumsum(marks[:n]) > 0)
                 a, b = window_hashes(words, starts, window)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), i, np.int64)), pa.array(np.full(len(starts), key, np.int64)), pa.array(starts.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["id", "key", "start", "hash_a", "hash_b"])
+                # Equal windows one after the other are one row.
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                times = np.diff(np.concatenate([new, [len(starts)]]))
+                starts, a, b, n = starts[new], a[new], b[new], len(new)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(starts.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["id", "key", "start", "times", "hash_a", "hash_b"])
 
-    windows = _join_spans(docs, grown, _entries(grown, "places"), "inner").select("id", "key", "text", "places").mapInArrow(extend, "id long, key long, start int, hash_a long, hash_b long")
+    windows = _join_spans(docs, grown, _entries(grown, "places"), "inner").select("id", "key", "text", "places").mapInArrow(extend, "id long, key long, start int, times int, hash_a long, hash_b long")
     earlier = windows.groupBy("hash_a", "hash_b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") != F.col("high")).drop("high")
-    late = windows.join(earlier, ["hash_a", "hash_b"]).where(F.col("id") > F.col("low")).groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
+    late = windows.join(earlier, ["hash_a", "hash_b"]).where(F.col("id") > F.col("low")).groupBy("id", "key").agg(F.collect_set(F.struct("start", "times")).alias("starts"))
 
     def runs(it: Iterator) -> Iterator:
         """Overlapping or touching windows become one span, [start, end) in words."""
@@ -122,9 +131,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
         for ids, keys, starts in batches(it, ["id", "key", "starts"]):
             spans = []
             for s in starts:
-                s = np.sort(np.array(s, np.int64))
-                cut = np.flatnonzero(np.diff(s) > window)
-                spans.append(np.stack([s[np.concatenate([[0], cut + 1])], s[np.concatenate([cut, [len(s) - 1]])] + window], axis=1).astype(np.int32).ravel())
+                s, n = np.array(sorted((x["start"], x["times"]) for x in s), np.int64).T
+                ends = s + n - 1 + window
+                cut = np.flatnonzero(s[1:] > ends[:-1])
+                spans.append(np.stack([s[np.concatenate([[0], cut + 1])], ends[np.concatenate([cut, [len(s) - 1]])]], axis=1).astype(np.int32).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["id", "key", "spans"])
 
     return copies, late.mapInArrow(runs, "id long, key long, spans array<int>")
