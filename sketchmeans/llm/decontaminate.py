@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased (A-Z) and freed of punctuation at their ends. Windows of `min_match` words shared with a
+Words are lower-cased (A-Z) and freed of ASCII punctuation. Windows of `min_match` words shared with a
 benchmark item seed a comparison; the item is then tiled with the longest matches that don't overlap, longest first, as
 running Karp-Rabin finds them, and a document is contaminated if tiles cover enough of an item, in whatever order the
 document has its parts. The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words, a pass over the
@@ -17,12 +17,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchmeans.llm.common import WORD, WordHash, batches, plain, windows64
+from sketchmeans.llm.common import EDGES, LOWER, UPPER, WORD, WordHash, batches, windows64
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.6
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 20
+LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
+def tokens(text: bytes) -> list[bytes]:
+    return text.translate(LOWERED, EDGES).split()
 
 
 def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -88,7 +93,7 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, bytes]], min_match: int):
         words = WordHash()
         self.min_match = min_match
-        self.items = {i: w for i, t in items if len(w := words.of([x for x in plain(t.split()) if x]))}
+        self.items = {i: w for i, t in items if len(w := words.of(tokens(t)))}
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[int]]]] = {}
         # An item shorter than min_match is matched whole.
         for n in sorted({min(min_match, len(w)) for w in self.items.values()}):
@@ -167,7 +172,7 @@ def _pass(frame: DataFrame, block) -> DataFrame:
             before = batch.column(at).to_pylist()
             found = []
             for text, had in zip(texts, before, strict=True):
-                own = block.value.matches(words.of([x for x in plain(text.split()) if x])) if text else []
+                own = block.value.matches(words.of(tokens(text))) if text else []
                 rows = [{"item_id": i, "coverage": c, "tiles": [{"item_start": p, "doc_start": t, "words": k} for p, t, k in tiles]} for i, c, tiles in own]
                 found.append((had or []) + rows or None)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns) if i != at], pa.array(found, kind)], [*[f.name for f in batch.schema if f.name != "found"], "found"])
