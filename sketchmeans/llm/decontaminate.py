@@ -109,16 +109,26 @@ class Benchmark:
 
     def matches(self, doc: np.ndarray) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
         """Items that share a seed with the document: number, share of the item's words tiled, tiles."""
-        found: set[int] = set()
+        places: dict[int, list[int]] = {}
+        sizes: dict[int, int] = {}
         for n, (keys, table, at) in self.seeds.items():
             h = windows64(doc, n)
-            h = h[table[h >> np.uint64(64 - FILTER_BITS)]]
-            for x in np.intersect1d(h, keys).tolist():
-                found.update(at[x])
+            near = np.flatnonzero(table[h >> np.uint64(64 - FILTER_BITS)])
+            for p in near[np.isin(h[near], keys)].tolist():
+                for i in at[int(h[p])]:
+                    places.setdefault(i, []).append(p)
+                    sizes[i] = n
         out = []
-        for i in sorted(found):
+        for i in sorted(places):
             item = self.items[i]
-            tiles = tile(item, doc, min(self.min_match, len(item)))
+            # A match is made of seeds of this item, so words outside all its seeds can't be tiled: they are left out.
+            cover = np.zeros(len(doc) + 1, np.int32)
+            np.add.at(cover, np.array(places[i]), 1)
+            np.add.at(cover, np.array(places[i]) + sizes[i], -1)
+            at_word = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+            gaps = np.flatnonzero(np.diff(at_word) > 1) + 1
+            back, part = np.insert(at_word, gaps, -1), np.insert(doc[at_word], gaps, np.uint64(0))
+            tiles = [(p, int(back[t]), k) for p, t, k in tile(item, part, min(self.min_match, len(item)))]
             out.append((i, sum(k for _, _, k in tiles) / len(item), tiles))
         return out
 
