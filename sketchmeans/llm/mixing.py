@@ -38,7 +38,7 @@ def topic_of(text: Column, words: Column) -> Column:
         F.when(words < 50, "short")
         .when(count("|") * 5 > words, "table")
         .when(symbols * 4 > words, "symbols")
-        .when(F.upper(F.substring(text, 1, 200)) == F.substring(text, 1, 200), "capitals")
+        .when(~text.rlike("[a-z]"), "capitals")
         .when(count("\n") * 8 > words, "lines")
         .otherwise("prose")
     )
@@ -112,7 +112,7 @@ def _oracle() -> str:
     count = lambda c: f"(length(body) - length(replace(body, {c}, '')))"
     symbols = " + ".join(count(f"'{c}'") for c in "#$%&*")
     parts = [
-        rf"d AS (SELECT *, CASE WHEN n_tokens < 50 THEN 'short' WHEN {count("'|'")} * 5 > n_tokens THEN 'table' WHEN ({symbols}) * 4 > n_tokens THEN 'symbols' WHEN upper(left(body, 200)) = left(body, 200) THEN 'capitals' WHEN {count('chr(10)')} * 8 > n_tokens THEN 'lines' ELSE 'prose' END AS topic"
+        rf"d AS (SELECT *, CASE WHEN n_tokens < 50 THEN 'short' WHEN {count("'|'")} * 5 > n_tokens THEN 'table' WHEN ({symbols}) * 4 > n_tokens THEN 'symbols' WHEN NOT regexp_matches(body, '[a-z]') THEN 'capitals' WHEN {count('chr(10)')} * 8 > n_tokens THEN 'lines' ELSE 'prose' END AS topic"
         rf" FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS body, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM documents))",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
     ]
