@@ -2,8 +2,9 @@
 
 Each document's lines are exploded and normalised, hashed to 128 bits and counted once for each document, with a
 partial count before the shuffle, so a line in a third of all documents costs one row for each map task. The keys over
-the threshold meet the exploded lines in an equi-join, which adaptive execution splits where one key is hot and
-broadcasts only below the session's size limit. What comes back are the numbers of the lines to drop; texts move once.
+the threshold are written and counted. Up to BROADCAST_LINES of them are broadcast to the exploded lines, which then
+don't move; more meet them in a shuffled equi-join of two plain exchanges, which adaptive execution can split where one
+key is hot. What comes back are the numbers of the lines to drop; texts move once.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchmeans.llm.common import SPACES, ascii_lower, row_key, text_of
+from sketchmeans.llm.common import SPACES, ascii_lower, materialize, row_key, text_of
+
+#: Keys up to this number are broadcast (16 bytes each).
+BROADCAST_LINES = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -42,7 +46,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     at = base.select("key_a", "key_b", F.posexplode(lines).alias("at", "line")).select("key_a", "key_b", "at", line_key(F.col("line")).alias("key"))
     at = at.where(F.char_length("key") >= min_chars).select("key_a", "key_b", "at", *_hashes(F.col("key")))
-    drop = at.join(found, ["line_a", "line_b"]).groupBy("key_a", "key_b").agg(F.collect_set("at").alias("drop"))
+    found = materialize(found, "lines")  # written, it is not tied to the count's partitions, which would keep a hot key whole
+    drop = at.join(F.broadcast(found) if found.count() <= BROADCAST_LINES else found, ["line_a", "line_b"]).groupBy("key_a", "key_b").agg(F.collect_set("at").alias("drop"))
     split = base.select("id", "key_a", "key_b", lines.alias("lines"), *[f"keep_{i}" for i in range(len(keep))])
     # The lines and their numbers are columns of the join, so the position lookup costs one step for each line.
     joined = split.join(drop, ["key_a", "key_b"], "left")

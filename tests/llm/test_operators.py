@@ -69,7 +69,9 @@ def test_every_operator_takes_odd_tables(spark, rows):
 # --- op1 -------------------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup_brute(spark):
+@pytest.mark.parametrize("broadcast", [0, line_dedup.BROADCAST_LINES])
+def test_line_dedup_brute(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
     rng = random.Random(1)
     pool = ["Common Line", " common line\t", "COMMON LINE", "rare é", "É x", "", "  ", *[f"own {i}" for i in range(40)]]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for i in range(40)] + odd_rows()
