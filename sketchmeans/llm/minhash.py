@@ -267,7 +267,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     features = materialize(_features(docs, False), "sketches")
     able = features.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    sets = able.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
+    # Written, so that the joins below are between plain exchanges, which adaptive execution splits where copies are many.
+    sets = materialize(able.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "sets")
     nodes = able.join(sets, ["set_a", "set_b"]).where(F.col("id") == F.col("rep")).select(F.col("id").alias("node"), "n_shingles", "registers")
     bands = _bands(nodes)
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where(F.col("center") != F.col("last")).drop("last")
