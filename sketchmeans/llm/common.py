@@ -71,6 +71,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Counted keys up to this number are broadcast (some 40 bytes each).
+BROADCAST_KEYS = 200_000
+#: Of more keys, the hot ones are those with at least this part of all counted rows. The counts add up to all rows, so
+#: there are at most as many hot keys, whatever the input.
+HOT_KEYS = 4096
+
+
+def join_counted(frame: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins (inner or left) with `keys`, one row a key, where `n` counts the rows of `frame` that have it.
+
+    Few keys are broadcast. Of more, only the hot ones are; the others are joined by a shuffle, in which rows that have
+    found a hot key are dealt by a hash of their content, so no task gets all rows of a key. `frame` is read once.
+    """
+    n_keys, rows = keys.agg(F.count(F.lit(1)), F.sum("n")).first()
+    values = [c for c in keys.columns if c not in (*on, "n")]
+    if n_keys <= BROADCAST_KEYS:
+        return frame.join(F.broadcast(keys.drop("n")), on, how)
+    hot = F.col("n") * HOT_KEYS >= int(rows or 0)
+    found = F.struct(F.lit(True).alias("found_"), *values)
+    both = frame.join(F.broadcast(keys.where(hot).select(*on, found.alias("hot_"))), on, "left")
+    both = both.withColumn("deal_", F.when(F.col("hot_").isNotNull(), F.pmod(F.xxhash64(*frame.columns), F.lit(1 << 30)) + 1).otherwise(F.lit(0).cast("long")))
+    both = both.join(keys.where(~hot).select(*on, F.lit(0).cast("long").alias("deal_"), found.alias("cold_")), [*on, "deal_"], "left")
+    out = both.select(*frame.columns, F.coalesce("hot_", "cold_").alias("found_"))
+    return (out if how == "left" else out.where(F.col("found_").isNotNull())).select(*frame.columns, *[F.col(f"found_.{v}").alias(v) for v in values])
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered for as many words as CACHE_WORDS."""
 

@@ -4,6 +4,7 @@
    its count of leading zeros and 10 bits after the first one, 16 bits in all; buckets without a shingle borrow from the
    filled bucket that comes first in a fixed random order, so small sets have full sketches too.
 2. Documents with equal sets are one node, named by their smallest id (a grouped minimum, combined before the shuffle).
+   Sets and bands come with their counts, so that the hot ones are joined apart.
 3. Bands of registers are hashed. Each member of a band's bucket is paired with the bucket's smallest node, a star, so
    a bucket of n nodes makes n - 1 pairs. Pairs whose collision-corrected estimate is far below the threshold go; the
    rest are checked on their full sets.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchmeans.llm.common import MULTIPLIER, WordHash, batches, checkpoint, materialize, mix64, windows64
+from sketchmeans.llm.common import MULTIPLIER, WordHash, batches, checkpoint, join_counted, materialize, mix64, windows64
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -267,11 +268,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     features = materialize(_features(docs, False), "sketches")
     able = features.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    sets = able.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    nodes = able.join(sets, ["set_a", "set_b"]).where(F.col("id") == F.col("rep")).select(F.col("id").alias("node"), "n_shingles", "registers")
+    equal = materialize(able.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "equal-sets")
+    nodes = join_counted(able, equal, ["set_a", "set_b"], "left").where(F.coalesce("rep", "id") == F.col("id")).select(F.col("id").alias("node"), "registers")
     bands = _bands(nodes)
-    shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where(F.col("center") != F.col("last")).drop("last")
-    members = materialize(bands.join(shared, "band"), "buckets")
+    shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("center") != F.col("last"))
+    members = materialize(join_counted(bands, materialize(shared.select("band", "center", F.col("n").alias("size"), "n"), "shared-bands"), ["band"]), "buckets")
     stars = checkpoint(members.where(F.col("node") != F.col("center")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
     named = docs.where(F.col("id").isNotNull())
     links = checkpoint(_verify(stars, named, threshold))
@@ -285,8 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = links.union(_cross_links(again.join(sets_again, "node"), threshold))
     roots = connected_components(every)
     return (
-        features.join(sets, ["set_a", "set_b"], "left")
-        .withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")))
+        join_counted(features.drop("registers"), equal, ["set_a", "set_b"], "left")
+        .withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
         .join(roots, "node", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "node").alias("component_id"), F.coalesce("root", "node").eqNullSafe(F.col("id")).alias("kept"))
     )

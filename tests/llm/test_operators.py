@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sketchmeans.llm import chat_format, decontaminate, language_model, line_dedup, minhash, mixing, quality, substring_dedup, toxicity, warc
+from sketchmeans.llm import chat_format, common, decontaminate, language_model, line_dedup, minhash, mixing, quality, substring_dedup, toxicity, warc
 from sketchmeans.llm.common import WordHash, new_path
 from sketchmeans.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import DATA, rows_of
@@ -47,8 +47,32 @@ def test_sql(spark, duck, name):
     assert rows_of(out[list(expected.columns)]) == rows_of(expected)
 
 
+def many_keys(monkeypatch, hot):
+    """Makes every table of counted keys one too large to broadcast; `hot` is the number of parts of which one is hot."""
+    monkeypatch.setattr(common, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+
+
+@pytest.mark.parametrize("hot", [None, 0, 3, 1 << 20])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_counted(spark, monkeypatch, hot, how):
+    if hot is not None:
+        many_keys(monkeypatch, hot)
+    rows = [(k, i % 5) for i, k in enumerate([1] * 60 + [2] * 20 + [3, 3, 4, None])]
+    frame = spark.createDataFrame(rows, "k long, v int")
+    keys = spark.createDataFrame([(1, "a", 60), (2, None, 20), (3, "c", 2)], "k long, name string, n long")
+    names = {1: "a", 2: None, 3: "c"}
+    expected = [(k, v, names.get(k)) for k, v in rows if how == "left" or k in names]
+    got = common.join_counted(frame, keys, ["k"], how)
+    assert got.columns == ["k", "v", "name"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("hot", [None, 8], ids=["broadcast", "shuffled"])
 @pytest.mark.parametrize("rows", [[], odd_rows()], ids=["empty", "odd"])
-def test_every_operator_takes_odd_tables(spark, rows):
+def test_every_operator_takes_odd_tables(spark, monkeypatch, rows, hot):
+    if hot is not None:
+        many_keys(monkeypatch, hot)
     docs = table(spark, rows)
     items = spark.createDataFrame([(1, "one two three four five six"), (None, "x"), (2, None), (2, "b"), (3, "")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 0), (4, 1), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
@@ -349,8 +373,10 @@ def brute_components(rows, threshold):
     return sorted((repr(d), len(s), repr(least.get(root(i)) if d is not None else None)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-@pytest.mark.parametrize("threshold", [80, 85])
-def test_near_duplicates_brute(spark, threshold):
+@pytest.mark.parametrize(("threshold", "hot"), [(80, None), (85, None), (85, 8), (85, 1 << 20)])
+def test_near_duplicates_brute(spark, monkeypatch, threshold, hot):
+    if hot is not None:
+        many_keys(monkeypatch, hot)
     """A hub with variants that are linked to it but hardly to each other, chains of edits, copies and short texts."""
     rng = random.Random(4)
     rows, n = [], 0
@@ -396,7 +422,10 @@ def test_components(spark):
 # --- op9 -------------------------------------------------------------------------------------------------------------
 
 
-def test_substring_dedup_brute(spark):
+@pytest.mark.parametrize("hot", [None, 8, 1 << 20])
+def test_substring_dedup_brute(spark, monkeypatch, hot):
+    if hot is not None:
+        many_keys(monkeypatch, hot)
     rng = random.Random(6)
     passages = [[f"p{k}w{i}" for i in range(rng.randint(49, 130))] for k in range(6)]
     rows = []
