@@ -7,6 +7,7 @@
 3. Extension: each shared anchor is extended both ways to the 50-word windows that hold it, which are compared by
    128-bit hashes with a grouped minimum of ids; runs of windows that an earlier document has are the maximal repeats.
 No pair of documents is ever formed, so a passage in a third of all documents costs a row for each of its windows.
+Copies, anchors and windows are counted, so that the hot ones are joined apart.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchmeans.llm.common import WordHash, batches, checkpoint, materialize, mix64, windows64
+from sketchmeans.llm.common import WordHash, batches, checkpoint, join_counted, materialize, mix64, windows64
 
 WINDOW, ANCHOR = 50, 24
 #: Rows of (key, spans) up to this many list entries are broadcast, some 40 MB; more are joined by a shuffle.
@@ -90,13 +91,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
             yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], pa.array([r[4] for r in rows], pa.list_(pa.int32())), pa.array([r[5] for r in rows], pa.list_(pa.int64()))], ["id", "key", "whole_a", "whole_b", "places", "anchors"])
 
     seeded = materialize(docs.mapInArrow(seeds, "id long, key long, whole_a long, whole_b long, places array<int>, anchors array<long>"), "anchors")
-    wholes = seeded.groupBy("whole_a", "whole_b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
-    copies = checkpoint(seeded.select("id", "key", "whole_a", "whole_b").join(wholes, ["whole_a", "whole_b"]).where(F.col("id") > F.col("first")).select("id", "key").distinct())
+    wholes = seeded.groupBy("whole_a", "whole_b").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last")).drop("last")
+    copies = checkpoint(join_counted(seeded.select("id", "key", "whole_a", "whole_b"), materialize(wholes, "copies"), ["whole_a", "whole_b"]).where(F.col("id") > F.col("first")).select("id", "key").distinct())
     n_copies = copies.count()
     firsts = seeded.join(F.broadcast(copies) if n_copies <= BROADCAST_ENTRIES // 4 else copies, ["id", "key"], "left_anti")
     placed = firsts.select("id", "key", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("id", "key", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-    shared = placed.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") != F.col("high")).select("anchor")
-    grown = checkpoint(placed.join(shared, "anchor", "left_semi").groupBy("id", "key").agg(F.collect_set("place").alias("places")))
+    shared = placed.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where(F.col("low") != F.col("high")).select("anchor", "n")
+    grown = checkpoint(join_counted(placed, materialize(shared, "shared-anchors"), ["anchor"]).groupBy("id", "key").agg(F.collect_set("place").alias("places")))
 
     def extend(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -121,8 +122,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(starts.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["id", "key", "start", "times", "hash_a", "hash_b"])
 
     windows = _join_spans(docs, grown, _entries(grown, "places"), "inner").select("id", "key", "text", "places").mapInArrow(extend, "id long, key long, start int, times int, hash_a long, hash_b long")
-    earlier = windows.groupBy("hash_a", "hash_b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") != F.col("high")).drop("high")
-    late = windows.join(earlier, ["hash_a", "hash_b"]).where(F.col("id") > F.col("low")).groupBy("id", "key").agg(F.collect_set(F.struct("start", "times")).alias("starts"))
+    earlier = windows.groupBy("hash_a", "hash_b").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where(F.col("low") != F.col("high")).drop("high")
+    late = join_counted(windows, materialize(earlier, "shared-windows"), ["hash_a", "hash_b"]).where(F.col("id") > F.col("low")).groupBy("id", "key").agg(F.collect_set(F.struct("start", "times")).alias("starts"))
 
     def runs(it: Iterator) -> Iterator:
         """Overlapping or touching windows become one span, [start, end) in words."""
