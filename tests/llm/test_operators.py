@@ -345,6 +345,23 @@ def test_context_tree(spark):
     assert len(pruned.table) < len(tree.table) and np.allclose((10.0 ** pruned.table.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("most", [1 << 21, 40])
+def test_language_model_scores_every_context(spark, monkeypatch, most):
+    """Scores of the query by brute force, of a corpus with many rare contexts; with all grams in the table, and with few."""
+    monkeypatch.setattr(language_model, "TABLE_GRAMS", most)
+    monkeypatch.setattr(language_model, "GRAMS_AT_ONCE", 500)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rare = [word() for _ in range(15)]  # each about as often as one byte in 10,000
+    short = [(100, None), (101, ""), (102, "zz\u00e9 a"), (103, rare[0]), (103, rare[0]), (None, rare[1] + " q"), (None, rare[2])]
+    rows = [(i, " ".join(rng.choice(["the", "a"]) for _ in range(900)) + " " + rng.choice(rare)) for i in range(45)] + short
+    brute = brute_tree([(t or "").encode() for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10])
+    want = sorted((repr(i), brute((t or "").encode())) for i, t in short)
+    got = sorted((repr(r.doc_id), r.score) for r in language_model.language_model(table(spark, rows)).collect() if r.doc_id is None or r.doc_id >= 100)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-3), (got, want)
+
+
 # --- op8 -------------------------------------------------------------------------------------------------------------
 
 
