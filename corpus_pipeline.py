@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn, with their topic, token count and probability."""
-    out = mix(docs, keep=("text", "n_chars")).where(F.col("kept"))
+    out = mix(docs, keep=("text", "n_chars"), bound=True).where(F.col("kept"))
     return out.select(*COLUMNS, "topic", "n_tokens", F.round("prob", 9).alias("prob"))
 
 

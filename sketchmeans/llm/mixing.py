@@ -22,6 +22,8 @@ MARGINALS: dict[str, dict[str, float] | float] = {
 }
 BUDGET = 0.6
 ROUNDS, SCALINGS = 8, 6
+#: Turns of `bounded` through all marginals.
+BOUNDED_ROUNDS = 8
 #: Cells up to this number are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_CELLS = 100_000
 
@@ -84,17 +86,51 @@ def probabilities(cells: DataFrame, budget: float, scalings: int = SCALINGS) ->
     return cells.withColumn("prob", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * scale / F.col("tokens"))).otherwise(F.lit(1.0)))
 
 
+def bounded(cells: DataFrame, budget: float, dims: tuple[str, ...] = DIMS, rounds: int = BOUNDED_ROUNDS) -> DataFrame:
+    """Raked cells with `weight` (a share of the kept tokens) and `prob`, no cell asked for more tokens than it has.
+
+    From the raked weights on, each value of a marginal in turn gets the factor at which its cells, none above the tokens
+    it has, come to its target (or are all whole, if the value has fewer tokens). The factor is found among the cells in
+    order of tokens / weight, so a turn is exact. Where a value can't reach its target, what is missing is shared out at
+    the end by one scale over all cells, so that the budget is met.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    need = budget * total
+    cells = cells.withColumn("own", F.when(F.col("tokens") > 0, F.col("weight") * F.lit(need)).otherwise(F.lit(0.0)))
+
+    def fill(frame: DataFrame, by: list[str], target: Column) -> DataFrame:
+        # `own` may exceed the tokens: it is the weight before the bound, which a later turn starts from
+        ratio = F.when(F.col("own") > 0, F.col("tokens") / F.col("own")).otherwise(F.lit(float("inf")))
+        frame = frame.withColumn("ratio", ratio)
+        before = Window.partitionBy(*by).orderBy("ratio", *DIMS).rowsBetween(Window.unboundedPreceding, -1)
+        onward = Window.partitionBy(*by).orderBy("ratio", *DIMS).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        frame = frame.withColumn("factor", F.try_divide(target - F.coalesce(F.sum(F.when(F.col("ratio") < float("inf"), F.col("tokens")).otherwise(0)).over(before), F.lit(0)), F.sum("own").over(onward)))
+        # the first cell whose bound the factor doesn't reach has the factor of all; without one, all cells are whole
+        fits = F.when((F.col("own") > 0) & (F.col("factor") <= F.col("ratio")), F.struct("ratio", *DIMS, "factor"))
+        frame = frame.withColumn("factor", F.coalesce(F.min(fits).over(Window.partitionBy(*by))["factor"], F.max(F.when(F.col("own") > 0, F.col("ratio"))).over(Window.partitionBy(*by)), F.lit(1.0)))
+        return frame.withColumn("own", F.col("own") * F.greatest(F.col("factor"), F.lit(0.0))).drop("ratio", "factor")
+
+    cells = checkpoint(cells)
+    for _ in range(rounds):
+        for dim in dims:
+            cells = checkpoint(fill(cells, [dim], F.col(f"target_{dim}") * need))
+    cells = checkpoint(fill(cells.withColumn("all_", F.lit(0)), ["all_"], F.lit(need)).drop("all_"))
+    prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("own") / F.col("tokens"))).otherwise(F.lit(1.0))
+    return cells.withColumn("prob", prob).withColumn("weight", F.least(F.col("own"), F.col("tokens")) / F.lit(need or 1.0)).drop("own")
+
+
 def draw(doc_id: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on the id and the seed alone."""
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, marginals: dict[str, dict[str, float] | float] = MARGINALS, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, marginals: dict[str, dict[str, float] | float] = MARGINALS, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix", keep: tuple[str, ...] = (), bound: bool = False) -> DataFrame:
     """Every document with doc_id, source, lang, topic, n_tokens, weight (of its cell), prob, kept, and `keep`.
 
     `budget` is the share of all tokens to keep in expectation; where the targets ask for more tokens of a cell than it
-    has, it is kept whole and the rest shared out anew. Null sources and languages are the empty string, null texts have
+    has, it is kept whole and the rest shared out anew: by one scale over all open cells, or, with `bound`, by raking that
+    heeds what cells have, so that values with tokens enough keep their targets. The SQL of op3 has the former. Null sources and languages are the empty string, null texts have
     no tokens; documents of a cell without tokens are kept. Rows of one id are drawn alike; an empty table gives an
     empty one; columns not in `keep` are left out.
     """
@@ -103,7 +139,7 @@ def mix(docs: DataFrame, marginals: dict[str, dict[str, float] | float] = MARGIN
     base = docs.select("doc_id", name("source"), name("lang"), text.alias("body"), n_words(text).alias("n_tokens"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     base = base.select("*", topic_of(F.col("body"), F.col("n_tokens")).alias("topic")).drop("body")
     cells = checkpoint(base.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    cells = checkpoint(probabilities(rake(cells, {d: marginals[d] for d in DIMS}, rounds), budget).select(*DIMS, "weight", "prob"))
+    cells = checkpoint((bounded if bound else probabilities)(rake(cells, {d: marginals[d] for d in DIMS}, rounds), budget).select(*DIMS, "weight", "prob"))
     joined = base.join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, list(DIMS))
     return joined.select("doc_id", *DIMS, "n_tokens", "weight", "prob", (draw(F.col("doc_id"), seed) < F.col("prob")).alias("kept"), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
 
