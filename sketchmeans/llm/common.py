@@ -158,3 +158,18 @@ def batches(it, columns: list[str]):
                 col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
             out.append(col.to_pylist())
         yield out
+
+
+def fixed_binary(rows: np.ndarray):
+    """An Arrow column of binaries from a matrix of bytes, one row each."""
+    import pyarrow as pa
+
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
+def fixed_rows(column) -> np.ndarray:
+    """The bytes of an Arrow column of binaries of equal lengths, as a matrix."""
+    if not len(column):
+        return np.empty((0, 0), np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)

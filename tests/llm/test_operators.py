@@ -458,8 +458,36 @@ def test_components(spark):
 # --- op9 -------------------------------------------------------------------------------------------------------------
 
 
+def brute_repeats(rows, window):
+    first = {}
+    windows = lambda w: [(i, tuple(w[i : i + window])) for i in range(len(w) - window + 1)]
+    for d, t in rows:
+        if d is not None:
+            for _, x in windows(words_of(t)):
+                first[x] = min(first.get(x, d), d)
+    out = []
+    for d, t in rows:
+        w = words_of(t)
+        gone = {i + k for i, x in windows(w) if d is not None and first[x] < d for k in range(window)}
+        out.append((repr(d), " ".join(x for i, x in enumerate(w) if i not in gone), len(w), len(gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [0, 3, 1024])
+def test_substring_dedup_of_few_words(spark, monkeypatch, small):
+    """Words of a small alphabet, so that anchors are common and matches branch on both sides; groups of all sizes."""
+    monkeypatch.setattr(substring_dedup, "SMALL", small)
+    monkeypatch.setattr(substring_dedup, "PLACES_AT_ONCE", 50)
+    rng = random.Random(small)
+    rows = [(rng.randint(0, 150), " ".join(rng.choice("abc" if i % 2 else "ab") for _ in range(rng.randint(0, 40)))) for i in range(160)]
+    got = [(repr(r.doc_id), r.text, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(table(spark, rows), window=9, anchor=4).collect()]
+    assert sorted(got) == brute_repeats(rows, 9)
+
+
+@pytest.mark.parametrize("small", [2, 1024])
 @pytest.mark.parametrize("hot", [None, 8, 1 << 20])
-def test_substring_dedup_brute(spark, monkeypatch, hot):
+def test_substring_dedup_brute(spark, monkeypatch, hot, small):
+    monkeypatch.setattr(substring_dedup, "SMALL", small)
     if hot is not None:
         many_keys(monkeypatch, hot)
     rng = random.Random(6)
@@ -474,19 +502,8 @@ def test_substring_dedup_brute(spark, monkeypatch, hot):
         rows.append((100 - i, " ".join(words)))
     rows += [(200, rows[3][1]), (201, rows[3][1]), (50, "Case " * 60), (49, "case " * 60), (48, "rep " * 300), (47, "rep " * 51)]
     rows += odd_rows()
-    first = {}
-    windows = lambda w: [(i, tuple(w[i : i + 50])) for i in range(len(w) - 49)]
-    for d, t in rows:
-        if d is not None:
-            for _, x in windows(words_of(t)):
-                first[x] = min(first.get(x, d), d)
-    want = []
-    for d, t in rows:
-        w = words_of(t)
-        gone = {i + k for i, x in windows(w) if d is not None and first[x] < d for k in range(50)}
-        want.append((repr(d), " ".join(x for i, x in enumerate(w) if i not in gone), len(w), len(gone)))
     got = [(repr(r.doc_id), r.text, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(table(spark, rows)).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == brute_repeats(rows, 50)
 
 
 # --- op10 ------------------------------------------------------------------------------------------------------------
