@@ -78,15 +78,15 @@ BROADCAST_KEYS = 200_000
 HOT_KEYS = 4096
 
 
-def join_counted(frame: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_counted(frame: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", width: int = 40) -> DataFrame:
     """Joins (inner or left) with `keys`, one row a key, where `n` counts the rows of `frame` that have it.
 
-    Few keys are broadcast. Of more, only the hot ones are; the others are joined by a shuffle, in which rows that have
+    Few keys are broadcast (`width` is the size of one in bytes). Of more, only the hot ones are; the others are joined by a shuffle, in which rows that have
     found a hot key are dealt by a hash of their content, so no task gets all rows of a key. `frame` is read once.
     """
     n_keys, rows = keys.agg(F.count(F.lit(1)), F.sum("n")).first()
     values = [c for c in keys.columns if c not in (*on, "n")]
-    if n_keys <= BROADCAST_KEYS:
+    if n_keys * width <= BROADCAST_KEYS * 40:
         return frame.join(F.broadcast(keys.drop("n")), on, how)
     hot = F.col("n") * HOT_KEYS >= int(rows or 0)
     found = F.struct(F.lit(True).alias("found_"), *values)

@@ -6,11 +6,14 @@
 2. Documents with equal sets are one node, named by their smallest id (a grouped minimum, combined before the shuffle).
    Sets and bands come with their counts, so that the hot ones are joined apart.
 3. Bands of registers are hashed. Each member of a band's bucket is paired with the bucket's smallest node, a star, so
-   a bucket of n nodes makes n - 1 pairs. Pairs whose collision-corrected estimate is far below the threshold go; the
-   rest are checked on their full sets.
+   a bucket of n nodes makes n - 1 pairs. The sketches of a pair are compared first: if the collision-corrected estimate
+   is below the threshold by more than `slack`, the pair goes; the rest are checked on their full sets, which are made
+   for the documents of these pairs alone.
 4. A star can miss a link between two members that are not linked to its center. So buckets of three or more that the
-   links leave in several parts are searched again with their full sets, in tiles of some TILE nodes, for links across
-   parts. A task compares pairs but gives back links alone, fewer than it has nodes. No bucket is capped.
+   links leave in several parts are searched again for links across parts: members outside a bucket's largest part (rows)
+   against all members (columns), in tiles of at most TILE of each. Sketches are compared first; only members with a
+   partner near enough go on to a second search with their full sets, in tiles of SET_TILE. A task compares pairs but
+   gives back members or links, never more than it has members. No bucket is capped.
 5. Components come from large-star and small-star rounds, each a grouped minimum and an equi-join, cut by checkpoint().
 """
 
@@ -23,16 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchmeans.llm.common import MULTIPLIER, WordHash, batches, checkpoint, join_counted, materialize, mix64, windows64
+from sketchmeans.llm.common import MULTIPLIER, WordHash, batches, checkpoint, fixed_rows, join_counted, materialize, mix64, windows64
 
 SHINGLE = 5
 THRESHOLD = 80
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 REGISTERS = 1 << BUCKET_BITS
 BANDS, ROWS = 42, 6
-#: Pairs whose estimate is below the threshold by more than this are not checked; over six standard errors.
+#: Pairs whose estimate is below the threshold by more than this are not checked; over six standard errors. 1 checks all.
 SLACK = 0.15
-TILE = 4096
+#: Rows and columns of a tile of sketches (512 bytes each), and of one of full sets (8 bytes a shingle).
+TILE, SET_TILE = 512, 128
 #: Ids up to this number are broadcast (some 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -146,58 +150,144 @@ def _among(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return frame.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
 
 
+def _near(equal: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: int, slack: float) -> np.ndarray:
+    """Pairs that may be similar enough, by the numbers of equal registers and of shingles."""
+    return (estimate(equal, n, m) >= threshold / 100 - slack) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= threshold * (len(a) + len(b) - both)
+
+
+def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: int, slack: float) -> DataFrame:
+    """Of the pairs (a, b), where a may be in many, those whose sketches are near enough."""
+    own = _among(sketches, "node", checkpoint(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    own = materialize(own.dropDuplicates(["node", "set_a", "set_b"]).select("node", "n_shingles", "registers"), "compared")
+    side = lambda k: own.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("registers").alias(f"registers_{k}"))
+    centers = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(side("a"), "a"), "centers")
+    once = centers.groupBy("a").agg(F.collect_list(F.struct("n_a", "registers_a")).alias("sketches"), F.first("n").alias("n"))  # an id may have several texts
+    joined = join_counted(pairs, once, ["a"], width=600).select("a", "b", F.explode("sketches").alias("x")).select("a", "b", "x.n_a", "x.registers_a").join(side("b"), "b")
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            a, b, n, m, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "n_a", "n_b", "registers_a", "registers_b"))
+            equal = (fixed_rows(x).view(np.uint16) == fixed_rows(y).view(np.uint16)).sum(axis=1)
+            mask = pa.array(_near(equal, n.to_numpy(), m.to_numpy(), threshold, slack))
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The full sets of the documents (id, text) with these ids (id), by node."""
+    made = _features(_among(docs, "id", ids), True).where(F.col("n_shingles") > 0)
+    return made.dropDuplicates(["id", "set_a", "set_b"]).select(F.col("id").alias("node"), "n_shingles", "registers", "shingle_set")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Of the pairs (a, b), those similar enough on their full sets; sketches are compared first."""
-    ids = checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sets = _features(_among(docs, "id", ids), True).where(F.col("n_shingles") > 0).dropDuplicates(["id", "set_a", "set_b"])
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("registers").alias(f"registers_{k}"), F.col("shingle_set").alias(f"set_{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Of the pairs (a, b), those similar enough on their full sets."""
+    sets = materialize(_sets(docs, checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())).select("node", "shingle_set"), "sets")
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingle_set").alias(f"set_{k}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in it:
-            a, b = (batch.column(batch.schema.get_field_index(x)) for x in "ab")
-            regs = [[np.frombuffer(x, np.uint16) for x in batch.column(batch.schema.get_field_index(f"registers_{k}")).to_pylist()] for k in "ab"]
-            sets = [[np.frombuffer(x, np.uint64) for x in batch.column(batch.schema.get_field_index(f"set_{k}")).to_pylist()] for k in "ab"]
-            ok = []
-            for ra, rb, sa, sb in zip(*regs, *sets, strict=True):
-                if 100 * min(len(sa), len(sb)) < threshold * max(len(sa), len(sb)) or estimate(int((ra == rb).sum()), len(sa), len(sb)) < threshold / 100 - SLACK:
-                    ok.append(False)
-                    continue
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                ok.append(100 * both >= threshold * (len(sa) + len(sb) - both))
-            mask = pa.array(ok, pa.bool_())
+            a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "set_a", "set_b"))
+            mask = pa.array([similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), threshold) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_links(members: DataFrame, threshold: int) -> DataFrame:
-    """Links of one bucket between nodes with different labels; members: band, node, label, size, registers, shingle_set.
+def _split_buckets(members: DataFrame) -> DataFrame:
+    """Members (band, node, label) of buckets in several parts, with the largest part's label and the numbers of members
+    and of those outside it."""
+    by = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    bands = by.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("n") > F.col("most"))
+    keys = bands.select("band", "main", (F.col("n") - F.col("most")).alias("others"), F.col("n").alias("size"), "n")
+    return join_counted(members, materialize(keys, "split-buckets"), ["band"])
+
+
+def _tiles(members: DataFrame, tile: int) -> DataFrame:
+    """Members dealt to the tiles of their bucket, as rows if outside its largest part, and as columns."""
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / tile)).cast("int")
+    at = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("node")), blocks(n)).cast("int")
+    cell = lambda r, c, row: F.struct(r.alias("tile_r"), c.alias("tile_c"), F.lit(row).alias("is_row"))
+    columns = F.transform(F.sequence(F.lit(0), blocks("others") - 1), lambda r: cell(r, at("size", 1), False))
+    rows = F.transform(F.sequence(F.lit(0), blocks("size") - 1), lambda c: cell(at("others", 2), c, True))
+    every = F.when(F.col("label") != F.col("main"), F.concat(columns, rows)).otherwise(columns)
+    dealt = members.withColumn("cell", F.explode(every)).select("band", "cell.*", "node", "label", "main", *[c for c in members.columns if c in ("n_shingles", "registers", "shingle_set")])
+    return dealt.repartition("band", "tile_r", "tile_c").sortWithinPartitions("band", "tile_r", "tile_c")
+
+
+def _by_tile(it: Iterator, n_columns: int) -> Iterator[list[tuple]]:
+    """Rows of each tile in turn."""
+    key, rows = None, []
+    for batch in it:
+        for r in zip(*[batch.column(i).to_pylist() for i in range(n_columns)], strict=True):
+            if r[:3] != key:
+                if rows:
+                    yield rows
+                key, rows = r[:3], []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _pairs_of_tile(rows: list[tuple], threshold: int, slack: float) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Each row of a tile with the columns that have another label and a sketch near enough, nearest first.
+
+    A pair that shares several bands is given in the first of them only, and one of two rows from the smaller node.
+    """
+    columns = list({(r[4], r[8]): r for r in rows if not r[3]}.values())
+    left = list({(r[4], r[8]): r for r in rows if r[3]}.values())
+    if not columns or not left:
+        return
+    regs = np.stack([np.frombuffer(r[8], np.uint16) for r in columns])
+    nodes, labels, sizes = (np.array([r[k] for r in columns]) for k in (4, 5, 7))
+    band = int(np.flatnonzero(band_hashes(regs[:1])[0] == rows[0][0])[0])
+    before = regs[:, : band * ROWS].reshape(len(columns), band, ROWS)
+    for r in left:
+        own = np.frombuffer(r[8], np.uint16)
+        js = np.flatnonzero((labels != r[5]) & ((labels == r[6]) | (nodes > r[4])))
+        equal = (regs[js] == own).sum(axis=1)
+        near = _near(equal, sizes[js], np.int64(r[7]), threshold, slack)
+        js, equal = js[near], equal[near]
+        if band and len(js):
+            first = ~(before[js] == own[: band * ROWS].reshape(band, ROWS)).all(axis=2).any(axis=1)
+            js, equal = js[first], equal[first]
+        if len(js):
+            yield r, [columns[j] for j in js[np.argsort(-equal, kind="stable")]]
+
+
+def _near_members(members: DataFrame, threshold: int, slack: float) -> DataFrame:
+    """(band, node, label) of members that have a near sketch in another part of the bucket."""
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for rows in _by_tile(it, 9):
+            out = {(x[0], x[4], x[5]) for r, near in _pairs_of_tile(rows, threshold, slack) for x in (r, *near)}
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(out)], pa.int64()) for k in range(3)], ["band", "node", "label"])
+
+    return _tiles(members, TILE).mapInArrow(run, "band long, node long, label long").distinct()
 
-    A pair that shares several bands is compared in the first of them only, estimates come before exact checks, and a
-    pair that links found in the task already connect is skipped: a tile of n nodes gives fewer than n links.
+
+def _cross_links(members: DataFrame, threshold: int, slack: float) -> DataFrame:
+    """Links of one bucket between nodes with different labels, on full sets.
+
+    A pair that links found in the task already connect is skipped: a tile of n nodes gives fewer than n links.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A node of block k goes to every tile (k, j) and (j, k): for all but buckets over TILE that is one tile.
-    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "other").alias("tile_a"), F.greatest("block", "other").alias("tile_b"), "block", "node", "label", "registers", "shingle_set")
-    dealt = tiles.repartition("band", "tile_a", "tile_b").sortWithinPartitions("band", "tile_a", "tile_b", "block", "node")
 
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        rows = list({(r[4], r[6]): r for r in rows}.values())
-        two = rows[0][1] != rows[0][2]
-        nodes, labels = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        names, counts = np.unique(labels, return_counts=True)
-        if len(names) == 1:
-            return
-        main = names[counts.argmax()]
-        regs, blocks = np.stack([np.frombuffer(r[6], np.uint16) for r in rows]), np.array([r[3] for r in rows])
-        sets = [np.frombuffer(r[7], np.uint64) for r in rows]
-        sizes = np.array([len(x) for x in sets])
-        band = int(np.flatnonzero(band_hashes(regs[:1])[0] == rows[0][0])[0])
-        before = regs[:, : band * ROWS].reshape(len(rows), band, ROWS)
         above: dict[int, int] = {}
 
         def part(x: int) -> int:
@@ -205,38 +295,22 @@ def _cross_links(members: DataFrame, threshold: int) -> DataFrame:
                 above[x] = x = above.get(up, up)
             return x
 
-        for i in np.flatnonzero(labels != main):
-            # Two nodes outside the main part meet once, from the smaller; the tile of two blocks joins across them only.
-            js = np.flatnonzero((labels != labels[i]) & ((labels == main) | (nodes > nodes[i])) & ((blocks != blocks[i]) if two else True))
-            equal = (regs[js] == regs[i]).sum(axis=1)
-            near = (estimate(equal, sizes[js], sizes[i]) >= threshold / 100 - SLACK) & (100 * np.minimum(sizes[js], sizes[i]) >= threshold * np.maximum(sizes[js], sizes[i]))
-            js, equal = js[near], equal[near]
-            if band and len(js):
-                first = ~(before[js] == before[i]).all(axis=2).any(axis=1)
-                js, equal = js[first], equal[first]
-            for j in js[np.argsort(-equal, kind="stable")]:
-                a, b = part(int(labels[i])), part(int(labels[j]))
-                if a == b:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= threshold * (sizes[i] + sizes[j] - both):
+        for r, near in _pairs_of_tile(rows, threshold, slack):
+            for x in near:
+                a, b = part(r[5]), part(x[5])
+                if a != b and similar(np.frombuffer(r[9], np.uint64), np.frombuffer(x[9], np.uint64), threshold):
                     above[max(a, b)] = min(a, b)
-                    yield (min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])))
+                    yield min(r[4], x[4]), max(r[4], x[4])
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, rows, out = None, [], []
-        for batch in it:
-            for r in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
-                if r[:3] != key:
-                    out += compare(rows) if rows else []
-                    key, rows = r[:3], []
-                rows.append(r)
-        out += compare(rows) if rows else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for rows in _by_tile(it, 10):
+            out = list(compare(rows))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _tiles(members, SET_TILE).mapInArrow(run, "a long, b long").distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -249,41 +323,49 @@ def connected_components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = stat
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = join_counted(both.where(F.col("v") > F.col("u")), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        large = checkpoint(large)
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_counted(large, least, ["u"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, slack: float = SLACK) -> DataFrame:
     """One row for each document: its id, n_shingles, component_id, kept.
 
     Documents whose shingle sets have a Jaccard similarity of `threshold` percent or more are linked, and component_id
     is the smallest id reachable over links; kept says whether that is the row's own. Null or empty texts have no
     shingles and no links. Rows of one id are one document, so they are in one component, and each of them is returned.
     A row without id is linked to nothing, has a null component and is kept. An empty table gives an empty one; other
-    columns are left out, whatever their names.
+    columns are left out, whatever their names. Pairs meet in a band with a chance of 1 - (1 - s**6)**42 at least for a
+    similarity of s: all but 1e-9 at 0.85, all but 3e-6 at 0.8; `slack` 1 checks every pair that has met on its full sets.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     features = materialize(_features(docs, False), "sketches")
     able = features.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     equal = materialize(able.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "equal-sets")
-    nodes = join_counted(able, equal, ["set_a", "set_b"], "left").where(F.coalesce("rep", "id") == F.col("id")).select(F.col("id").alias("node"), "registers")
+    nodes = join_counted(able, equal, ["set_a", "set_b"], "left").where(F.coalesce("rep", "id") == F.col("id")).select(F.col("id").alias("node"), "n_shingles", "set_a", "set_b", "registers")
     bands = _bands(nodes)
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("center") != F.col("last"))
     members = materialize(join_counted(bands, materialize(shared.select("band", "center", F.col("n").alias("size"), "n"), "shared-bands"), ["band"]), "buckets")
     stars = checkpoint(members.where(F.col("node") != F.col("center")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
     named = docs.where(F.col("id").isNotNull())
-    links = checkpoint(_verify(stars, named, threshold))
+    links = checkpoint(_verify(checkpoint(_estimated(stars, nodes, threshold, slack)), named, threshold))
     # Two steps along the links name most parts alike; equal labels always mean connected nodes.
     one = links.groupBy("b").agg(F.min("a").alias("a"))
     label = one.join(one.select(F.col("b").alias("a"), F.col("a").alias("top")), "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("label"))
-    labelled = members.where(F.col("size") > 2).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("band")
-    again = checkpoint(labelled.join(split, "band", "left_semi").select("band", "node", "label", "size"))
-    sets_again = _features(_among(named, "id", checkpoint(again.select(F.col("node").alias("id")).distinct())), True).select(F.col("id").alias("node"), "registers", "shingle_set")
-    every = links.union(_cross_links(again.join(sets_again, "node"), threshold))
+    labelled = members.where(F.col("size") > 2).join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    again = checkpoint(_split_buckets(materialize(labelled, "labelled")))
+    sketches = _among(nodes, "node", checkpoint(again.select("node").distinct())).select("node", "n_shingles", "registers")
+    near = checkpoint(_near_members(again.join(sketches, "node"), threshold, slack))
+    again = _split_buckets(near)
+    sets = _sets(named, checkpoint(near.select(F.col("node").alias("id")).distinct()))
+    # Rows of one id are one document, also where an equal set has given one of them another node.
+    own = join_counted(features.where(F.col("id").isNotNull()).select("id", "set_a", "set_b"), equal, ["set_a", "set_b"], "left").select("id", F.coalesce("rep", "id").alias("node"))
+    several = own.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
+    alike = own.join(several, "id").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    every = links.union(_cross_links(again.join(sets, "node"), threshold, slack)).union(alike)
     roots = connected_components(every)
     return (
         join_counted(features.drop("registers"), equal, ["set_a", "set_b"], "left")

@@ -409,10 +409,12 @@ def brute_components(rows, threshold):
     return sorted((repr(d), len(s), repr(least.get(root(i)) if d is not None else None)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-@pytest.mark.parametrize(("threshold", "hot"), [(80, None), (85, None), (85, 8), (85, 1 << 20)])
-def test_near_duplicates_brute(spark, monkeypatch, threshold, hot):
+@pytest.mark.parametrize(("threshold", "hot", "tile"), [(80, None, 512), (85, None, 7), (85, 8, 512), (85, 1 << 20, 3)])
+def test_near_duplicates_brute(spark, monkeypatch, threshold, hot, tile):
     if hot is not None:
         many_keys(monkeypatch, hot)
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "SET_TILE", min(tile, 128))
     """A hub with variants that are linked to it but hardly to each other, chains of edits, copies and short texts."""
     rng = random.Random(4)
     rows, n = [], 0
@@ -432,10 +434,33 @@ def test_near_duplicates_brute(spark, monkeypatch, threshold, hot):
     rows += [(n + i, t) for i, t in enumerate(["a b c", "A b C", "a b", "", None, "a b c d e f", "a b c d e"])]
     rng.shuffle(rows)
     rows = [(1000 - i, t) for i, (_, t) in enumerate(rows)] + [(None, "a b c"), (5, "a b c"), (5, "a b c")]
+    # Ids with several texts: one that is a copy of another document's, one of its own, an empty one.
+    rows += [(2000, rows[0][1]), (2000, "of its own " * 9), (1, rows[1][1]), (2001, rows[1][1]), (2001, rows[9][1]), (2002, "only here " * 8), (2002, "")]
     got = minhash.near_duplicates(table(spark, rows), threshold=threshold).collect()
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_components(rows, threshold)
 
 
+def test_pairs_at_the_threshold_meet():
+    """Of pairs just above the threshold, for sets of all sizes: each shares a band, and no estimate is `SLACK` too low."""
+    rng = np.random.default_rng(8)
+    missed, pairs = 0, 0
+    for union in (7, 20, 54, 100, 300, 1000, 5000):
+        for _ in range(300):
+            pool = np.unique(rng.integers(0, 2**63, union, dtype=np.uint64) * np.uint64(2))
+            both = -(-85 * len(pool) // 100)
+            cut = both + int(rng.integers(0, len(pool) - both + 1))
+            rng.shuffle(pool)
+            a, b = np.sort(pool[:cut]), np.sort(np.concatenate([pool[:both], pool[cut:]]))
+            if not minhash.similar(a, b, 85):
+                continue
+            pairs += 1
+            x, y = minhash.sketch(a), minhash.sketch(b)
+            meet = (minhash.band_hashes(x[None]) == minhash.band_hashes(y[None])).any()
+            near = minhash._near(np.array([(x == y).sum()]), np.array([len(a)]), np.array([len(b)]), 85, minhash.SLACK)[0]
+            missed += not (meet and near)
+    assert pairs > 2000 and not missed
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(5)
     for share in (0.5, 0.85):
