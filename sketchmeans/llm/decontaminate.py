@@ -3,13 +3,15 @@
 Words are lower-cased (A-Z) and freed of ASCII punctuation. Windows of `min_match` words shared with a
 benchmark item seed a comparison; the item is then tiled with the longest matches that don't overlap, longest first, as
 running Karp-Rabin finds them, and a document is contaminated if tiles cover enough of an item, in whatever order the
-document has its parts. The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words, a pass over the
-documents for each block, so what is broadcast has a fixed bound; texts are neither shuffled nor collected.
+document has its parts. The benchmark goes to the tasks in blocks of some BLOCK_WORDS words. Where there are several,
+each has a pass of its own over the documents, which writes what it finds and drops its block before the next is read;
+one block needs no such table. Texts are neither collected nor, with one block, moved.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
@@ -17,10 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchmeans.llm.common import EDGES, LOWER, UPPER, WORD, WordHash, batches, windows64
+from sketchmeans.llm.common import EDGES, LOWER, MULTIPLIER, UPPER, WORD, WordHash, batches, materialize, mix64, row_key, windows64
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.6
+#: Words of an item that tiles must cover at least; fewer are a common phrase, not a test.
+MIN_WORDS = 8
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 20
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -53,33 +57,70 @@ def _open(free: np.ndarray, n: int) -> np.ndarray:
     return total[n:] - total[:-n] == n
 
 
-def _scan(item, doc, free_i, free_d, length: int, tiles: list) -> None:
+def _begins(words: np.ndarray, free: np.ndarray, at: np.ndarray, grams: np.ndarray, none: int) -> np.ndarray:
+    """Names the windows by their words and by the free word before them."""
+    before = np.where((at > 0) & free[at - 1], words[at - 1], np.uint64(none))
+    return mix64(grams[at] * MULTIPLIER + mix64(before))
+
+
+def _matches(item, doc, free_i, free_d, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in item and document of equal free windows that can't be extended to the left.
+
+    Of the windows of the item with the same words, those with another word before them are two ranges in order of name,
+    so pairs in the middle of a match are never made: equal words make n + m pairs, not n * m.
+    """
     a, b = windows64(item, length), windows64(doc, length)
-    starts: dict[int, list[int]] = {}
-    for p in np.flatnonzero(_open(free_i, length)).tolist():
-        starts.setdefault(int(a[p]), []).append(p)
-    if not starts:
+    p, t = np.flatnonzero(_open(free_i, length)), np.flatnonzero(_open(free_d, length))
+    t = t[np.isin(b[t], a[p])]
+    if not len(t):
+        return t, t
+    name = _begins(item, free_i, p, a, 1)
+    order = np.lexsort((name, a[p]))
+    p, name = p[order], name[order]
+    low, high = (np.searchsorted(a[p], b[t], side) for side in ("left", "right"))
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    last = np.concatenate([first[1:], [len(name)]])
+    by = np.argsort(name[first])
+    wanted = _begins(doc, free_d, t, b, 2)
+    at = by[np.minimum(np.searchsorted(name[first][by], wanted), len(by) - 1)]
+    has = name[first][at] == wanted
+    begin, n = np.concatenate([low, np.where(has, last[at], high)]), np.concatenate([np.where(has, first[at], high) - low, np.where(has, high - last[at], 0)])
+    place = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return p[place], np.repeat(np.concatenate([t, t]), n)
+
+
+def _lengths(item, doc, free_i, free_d, p: np.ndarray, t: np.ndarray, length: int) -> np.ndarray:
+    """How far matches of `length` words or more go on over free words, by doubled windows, the largest first."""
+    k = np.full(len(p), length)
+    size = 1 << (min(len(item), len(doc)).bit_length() - 1)
+    while size:
+        at_i, at_d = p + k, t + k
+        fits = np.flatnonzero((at_i + size <= len(item)) & (at_d + size <= len(doc)))
+        if len(fits):
+            a, b = windows64(item, size), windows64(doc, size)
+            at_i, at_d = at_i[fits], at_d[fits]
+            k[fits[(a[at_i] == b[at_d]) & _open(free_i, size)[at_i] & _open(free_d, size)[at_d]]] += size
+        size //= 2
+    return k
+
+
+def _scan(item, doc, free_i, free_d, length: int, tiles: list) -> None:
+    p, t = _matches(item, doc, free_i, free_d, length)
+    if not len(p):
         return
-    hits = np.flatnonzero(np.isin(b, np.fromiter(starts, np.uint64, len(starts))) & _open(free_d, length))
-    queue: list[tuple[int, int, int]] = []
-    ends: dict[int, int] = {}  # end in the document of the last match on each diagonal
-    for t in hits.tolist():
-        for p in starts[int(b[t])]:
-            if ends.get(t - p, -1) >= t + length or not np.array_equal(item[p : p + length], doc[t : t + length]):
-                continue
-            k = length
-            while p + k < len(item) and t + k < len(doc) and free_i[p + k] and free_d[t + k] and item[p + k] == doc[t + k]:
-                k += 1
-            ends[t - p] = t + k
-            queue.append((-k, p, t))
-    heapq.heapify(queue)
-    while queue:
+    k = _lengths(item, doc, free_i, free_d, p, t, length)
+    order = np.lexsort((t, p, -k))
+    queue = list(zip((-k[order]).tolist(), p[order].tolist(), t[order].tolist(), strict=True))  # in order, so a heap
+    left = int(free_i.sum())
+    while queue and left >= length:
         k, p, t = heapq.heappop(queue)
         k = -k
         ok = free_i[p : p + k] & free_d[t : t + k]
         if ok.all():
-            free_i[p : p + k] = free_d[t : t + k] = False
-            tiles.append((p, t, k))
+            if np.array_equal(item[p : p + k], doc[t : t + k]):
+                free_i[p : p + k] = free_d[t : t + k] = False
+                left -= k
+                tiles.append((p, t, k))
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.view(np.int8), [0]])))
         for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
@@ -93,7 +134,9 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, bytes]], min_match: int):
         words = WordHash()
         self.min_match = min_match
-        self.items = {i: w for i, t in items if len(w := words.of(tokens(t)))}
+        coded = [(i, w) for i, t in items if len(w := words.of(tokens(t)))]
+        self.names = [i for i, _ in coded]
+        self.items = {k: w for k, (_, w) in enumerate(coded)}
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[int]]]] = {}
         # An item shorter than min_match is matched whole.
         for n in sorted({min(min_match, len(w)) for w in self.items.values()}):
@@ -108,7 +151,7 @@ class Benchmark:
             self.seeds[n] = (np.sort(keys), table, at)
 
     def matches(self, doc: np.ndarray) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
-        """Items that share a seed with the document: number, share of the item's words tiled, tiles."""
+        """Items that share a seed with the document: id, share of the item's words tiled, tiles; of texts of one id the best."""
         places: dict[int, list[int]] = {}
         sizes: dict[int, int] = {}
         for n, (keys, table, at) in self.seeds.items():
@@ -131,33 +174,38 @@ class Benchmark:
             gaps = np.flatnonzero(np.diff(at_word) > 1) + 1
             back, part = np.insert(at_word, gaps, -1), np.insert(doc[at_word], gaps, np.uint64(0))
             tiles = [(p, int(back[t]), k) for p, t, k in tile(item, part, min(self.min_match, len(item)))]
-            out.append((i, sum(k for _, _, k in tiles) / len(item), tiles))
+            out.append((self.names[i], sum(k for _, _, k in tiles) / len(item), tiles))
+        if max(Counter(i for i, _, _ in out).values(), default=1) > 1:
+            out = [max((x for x in out if x[0] == i), key=lambda x: x[1]) for i in sorted({i for i, _, _ in out})]
         return out
 
 
-FOUND = "found array<struct<item_id:long,coverage:double,tiles:array<struct<item_start:int,doc_start:int,words:int>>>>"
+FOUND = "array<struct<item_id:long,coverage:double,tiles:array<struct<item_start:int,doc_start:int,words:int>>>>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, min_words: int = MIN_WORDS, keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document: id, text, `keep`, found, n_items, item_id, coverage, contaminated.
 
     `found` lists the benchmark items that share a run of `min_match` words, with their tiles; `item_id` and `coverage`
     are of the one best covered (the smallest id among equals; null and 0 if none), `n_items` counts those covered to
-    `min_coverage` or more, and `contaminated` says whether there is one. Null or empty texts and items share nothing;
-    items repeated under one id count once, those without id are ignored; repeated rows are judged each; an empty table
+    `min_coverage` or more by tiles of `min_words` words or more in all (so an item of fewer words marks no document),
+    and `contaminated` says whether there is one. Null or empty texts and items share nothing; of different texts under
+    one item id the best covered counts; items without id are ignored; repeated rows are judged each; an empty table
     gives an empty one; columns not in `keep` are left out.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
+    text = F.col("text").cast("string")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.expr(rf"regexp_count(text, '{WORD.replace(chr(92), chr(92) * 2)}')"))).first()[0] or 0
     blocks = max(1, ceil(total / block_words))
     kept = [f"keep_{i}" for i in range(len(keep))]
-    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.expr("cast(null as array<struct<item_id:long,coverage:double,tiles:array<struct<item_start:int,doc_start:int,words:int>>>>)").alias("found"))
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        block = Benchmark([(r["item_id"], r["text"].encode()) for r in rows], min_match)
-        frame = _pass(frame, frame.sparkSession.sparkContext.broadcast(block))
+    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
+    if blocks == 1:
+        frame = _pass(frame, _block(items, min_match))
+    else:
+        frame = _passes(frame, materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "items"), blocks, min_match)
     best = F.array_max(F.transform("found", lambda x: F.struct(x["coverage"].alias("coverage"), (-x["item_id"]).alias("item"))))
-    n = F.coalesce(F.size(F.filter("found", lambda x: x["coverage"] >= min_coverage)), F.lit(0))
+    words = lambda x: F.aggregate(x["tiles"], F.lit(0), lambda n, t: n + t["words"])
+    n = F.coalesce(F.size(F.filter("found", lambda x: (x["coverage"] >= min_coverage) & (words(x) >= min_words))), F.lit(0))
     return frame.select(
         F.col("id").alias(id_col),
         F.col("text").alias(text_col),
@@ -170,6 +218,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def _block(items: DataFrame, min_match: int):
+    """A block of items as a broadcast."""
+    rows = sorted((r["item_id"], r["text"]) for r in items.select("item_id", "text").collect())
+    return items.sparkSession.sparkContext.broadcast(Benchmark([(i, t.encode()) for i, t in rows], min_match))
+
+
+def _passes(frame: DataFrame, items: DataFrame, blocks: int, min_match: int) -> DataFrame:
+    """Adds what several blocks find, one after the other; rows that find something are named by their content."""
+    keyed = frame.select("*", *row_key(F.col("id"), F.col("text")))
+    found = None
+    for b in range(blocks):
+        block = _block(items.where(F.col("block") == b), min_match)
+        hits = _pass(keyed.select("key_a", "key_b", "text"), block).where(F.col("found").isNotNull()).drop("text")
+        hits = materialize(hits.groupBy("key_a", "key_b").agg(F.first("found").alias("found")), f"found-{b}")
+        block.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("key_a", "key_b").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return keyed.join(found, ["key_a", "key_b"], "left").drop("key_a", "key_b")
+
+
 def _pass(frame: DataFrame, block) -> DataFrame:
     """Adds what one block of the benchmark finds; texts pass through as Arrow columns, untouched."""
 
@@ -180,16 +248,13 @@ def _pass(frame: DataFrame, block) -> DataFrame:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())])))]))
         for batch in it:
             (texts,) = next(batches([batch], ["text"]))
-            at = batch.schema.get_field_index("found")
-            before = batch.column(at).to_pylist()
             found = []
-            for text, had in zip(texts, before, strict=True):
+            for text in texts:
                 own = block.value.matches(words.of(tokens(text))) if text else []
-                rows = [{"item_id": i, "coverage": c, "tiles": [{"item_start": p, "doc_start": t, "words": k} for p, t, k in tiles]} for i, c, tiles in own]
-                found.append((had or []) + rows or None)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns) if i != at], pa.array(found, kind)], [*[f.name for f in batch.schema if f.name != "found"], "found"])
+                found.append([{"item_id": i, "coverage": c, "tiles": [{"item_start": p, "doc_start": t, "words": k} for p, t, k in tiles]} for i, c, tiles in own] or None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "found"])
 
-    return frame.mapInArrow(run, frame.schema)
+    return frame.mapInArrow(run, frame.withColumn("found", F.expr(f"cast(null as {FOUND})")).schema)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 
@@ -282,6 +283,43 @@ def test_tiling_is_greedy(a, b):
     assert all(a[p : p + k] == b[t : t + k] for p, t, k in tiles)
 
 
+@pytest.mark.parametrize(("n", "m"), [(800, 16000), (3, 4000)])
+def test_tiling_of_equal_words_takes_no_time(n, m):
+    """A text of one word over and over makes n + m matches, not n * m."""
+    began = time.process_time()
+    tiles = decontaminate.tile(np.full(n, 7, np.uint64), np.full(m, 7, np.uint64), min(n, 5))
+    assert sum(k for _, _, k in tiles) == n and time.process_time() - began < 0.5
+
+
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 2000])
+def test_decontamination_brute(spark, block_words):
+    """Whole tables of the smallest size, with odd rows, in one block and in several: all documents against all items."""
+    small = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    docs += [(-1, items[0][1]), (-1, items[0][1]), (None, items[1][1].upper()), (-2, None), (-3, ""), (-4, "yes, of course it is")]
+    items += [(items[0][0], "another text under the same number of an item in this table"), (None, "no number"), (9000, None), (9001, ""), (9002, "of course it is"), (9003, "yes")]
+    split = lambda t: [w for w in ("".join(c for c in low(x) if c not in ".,;:!?'\"()[]{}-") for x in words_of(t)) if w]
+    code = {}
+    number = lambda t: [code.setdefault(w, len(code)) for w in split(t)]
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    tests = [(i, w, grams(w, min(5, len(w)))) for i, t in items if i is not None and (w := number(t))]
+    want = []
+    for d, t in docs:
+        own = number(t)
+        seeds = {n: grams(own, n) for n in range(1, 6)}
+        best = {}
+        for i, w, g in tests:
+            if g & seeds[min(5, len(w))]:
+                tiled = brute_tiles(w, own, min(5, len(w)))
+                best[i] = max(best.get(i, (0, 0)), (tiled / len(w), tiled))
+        top = min(((-c, i) for i, (c, _) in best.items()), default=(0, None))
+        want.append((repr(d), sum(c >= 0.6 and n >= 8 for c, n in best.values()), repr(top[1]), round(-top[0], 9)))
+    found = decontaminate.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    got = [(repr(r.doc_id), r.n_items, repr(r.item_id), round(r.coverage, 9)) for r in found.select("doc_id", "n_items", "item_id", "coverage").collect()]
+    assert sorted(got) == sorted(want) and any(w[1] for w in want)
+
+
 def test_decontamination_catches_reordered(spark):
     item = [f"t{i}" for i in range(30)]
     text = lambda w: "lead in " + " ".join(w) + " and the rest"
