@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import time
 import warnings
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from sketchmeans.functions.transforms import Transform
 from sketchmeans.operators import init as I
 from sketchmeans.operators import twopass
-from sketchmeans.operators.centers import Centers, Metric, assign, center_update, sumd
+from sketchmeans.operators.centers import Centers, Metric, assign, sumd
 from sketchmeans.operators.lloyd import lloyd
 from sketchmeans.operators.sketch import from_zeros, sketch
 from sketchmeans.plans.params import Params, RunInfo, choose_sketch, sketch_shape
@@ -22,6 +23,9 @@ from sketchmeans.session import prepare
 from sketchmeans.sources import vectors as V
 
 
+log = logging.getLogger("sketchmeans")
+
+
 @dataclass
 class Result:
     """Frames are lazy: the second pass runs only if its frames are used."""
@@ -54,6 +58,7 @@ def cluster(source: str | DataFrame, k: int, spark: SparkSession | None = None,
     raw = V.scan_vectors(V.read(spark, source, partition_mb=None if isinstance(source, DataFrame) else params.partition_mb), id_col, x_col, params.samples)
     shape = V.checked_shape(raw, k)
     time_shape = time.time() - began
+    log.info("%d vectors of %d entries in %d partitions", shape.n, shape.p, raw.rdd.getNumPartitions())
     transform, metric, data = None, Metric(shape.p), raw
     kind: object = "none"
     if params.sparsify:
@@ -76,17 +81,19 @@ def cluster(source: str | DataFrame, k: int, spark: SparkSession | None = None,
     info.time_iterations = time.time() - at
     info.time_shape, info.time_init = time_shape, time_init
     info.sketch, info.sparsify = str(kind) if isinstance(kind, str) else "own", params.sparsify
-    info.options = {n: v for n, v in asdict(params).items() if n not in ("init", "sketch")}
+    info.options = {n: v for n, v in vars(params).items() if n not in ("init", "sketch")}
     assigned = assign(data, of_assignment, metric)
     result = Result(centers.c, assigned, sumd(assigned, len(of_assignment)), info, data if params.sparsify else None, persisted=[data])
     if params.sparsify:
         unmixed = twopass.unmix_centers(centers, transform)
         result.centers = unmixed.c
-        result.two_pass_centers = twopass.two_pass_centers(raw, assigned)
+        again = sketch(raw, transform, size, params.seed, params.hashing, carry=("x",))
+        result.two_pass_centers = twopass.two_pass_centers(again, of_assignment, metric)
         result.two_pass_assignments = twopass.two_pass_assign(raw, unmixed)
         result.two_pass_sumd = sumd(result.two_pass_assignments, len(unmixed))
     else:
-        result.two_pass_centers = center_update(raw.join(assigned.select("id", "k"), "id"))
+        # Without a sketch the second pass is the first.
+        result.two_pass_centers = twopass.two_pass_centers(from_zeros(raw, carry=("x",)) if params.missing == "zeros" else raw, of_assignment, metric)
         result.two_pass_assignments, result.two_pass_sumd = assigned, result.sumd
     info.time_overall = time.time() - began
     return result
@@ -104,7 +111,7 @@ def _seed(data: DataFrame, k: int, params: Params, metric: Metric, transform: Tr
     elif params.init == "sample":
         seeds = I.rows_as_centers([r.asDict() for r in I.init_sample(data, k, params.seed, rep, params.hashing).collect()], metric.p2)
     elif params.init == "uniform":
-        seeds = I.init_uniform(data, k, metric.p2, params.seed, rep)
+        seeds = I.init_uniform(data, k, metric.p2, params.seed, rep, params.hashing)
     else:
         own = metric if params.unbiased_init else Metric(metric.p2, metric.gamma, False, metric.min_overlap)
         seeds = I.init_kmeanspp(data, k, own, params.seed, rep, params.hashing)[1]

@@ -24,28 +24,7 @@ def dense(x: Column, c: Column) -> Column:
     return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
 
 
-def masked(idx: Column, val: Column, c: Column, scale_v: float = 1.0, scale_c: float = 1.0) -> Column:
-    """Squared distance over the coordinates the sketch has, each side scaled first."""
-    one = lambda j, v: F.pow(v * F.lit(scale_v) - F.get(c, j) * F.lit(scale_c), F.lit(2.0))
-    return F.aggregate(F.zip_with(idx, val, one), F.lit(0.0), lambda a, v: a + v)
-
-
-def intersected(idx: Column, val: Column, c: Column, support: Column, scale_v: float = 1.0, scale_c: float = 1.0) -> Column:
-    """The same over coordinates that both have; 0 if there is none."""
-    one = lambda j, v: F.when(F.get(support, j), F.pow(v * F.lit(scale_v) - F.get(c, j) * F.lit(scale_c), F.lit(2.0))).otherwise(F.lit(0.0))
-    return F.aggregate(F.zip_with(idx, val, one), F.lit(0.0), lambda a, v: a + v)
-
-
-def overlap(idx: Column, support: Column) -> Column:
-    return F.size(F.filter(idx, lambda j: F.get(support, j)))
-
-
 def with_beta(x: Column, c: Column, beta: float) -> Column:
     """x^2 - 2 beta x c + c^2, summed and clipped at 0."""
     each = F.zip_with(x, c, lambda a, b: a * a - F.lit(2.0 * beta) * a * b + b * b)
     return F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda s, v: s + v))
-
-
-def nearest(d2: list[Column]) -> Column:
-    """struct(d2, k) of the least, k from 1; ties go to the smallest k, NaN loses to any number."""
-    return F.array_min(F.array(*[F.struct(d.alias("d2"), F.lit(k + 1).alias("k")) for k, d in enumerate(d2)]))

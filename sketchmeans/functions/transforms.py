@@ -114,6 +114,3 @@ class Transform:
         if self.kind == "hadamard" and self.p2 <= 256:
             return fwht_orthonormal(sign_flip(pad(x, self.p, self.p2), self.signs), self.p2)
         return rows_udf(self.forward)(x)
-
-    def adjoint_column(self, y: Column) -> Column:
-        return y if self.kind == "none" else rows_udf(self.adjoint)(y)

@@ -1,8 +1,8 @@
 """Centers, nearest-center assignment and center updates.
 
 Centers are K rows of p2 numbers on the driver, sent to tasks by broadcast. An iteration is one job: each partition
-turns its rows into one partial row for each cluster (count, squared distances, sums, counts by coordinate), and partial
-rows are merged in a second, smaller stage where there are many.
+turns its rows into one partial row for each cluster (count, squared distances, sums, counts by coordinate). Where these
+are too many bytes for the driver they are merged by replicate and cluster first, which leaves one row for each.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchmeans.functions import distances as D
-
 
 @dataclass
 class Centers:
@@ -54,7 +52,7 @@ class Metric:
         return 1.0 if self.gamma is None or self.unbiased else 1 / self.gamma
 
 
-def _blocks(batch, names: list[str], sketched: bool):
+def blocks(batch, names: list[str], sketched: bool):
     """Arrow lists as matrices: (idx, val) or x; rows of a batch have equal lengths, or masks are padded to one."""
     col = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
     n = batch.num_rows
@@ -90,8 +88,8 @@ def _sketched(data: DataFrame) -> bool:
     return "idx" in data.columns
 
 
-def assign(data: DataFrame, centers: Centers, metric: Metric) -> DataFrame:
-    """(id, k, dist[, dist_est]): the nearest center, from 1, the smallest on ties."""
+def assign(data: DataFrame, centers: Centers, metric: Metric, carry: bool = False) -> DataFrame:
+    """(id, k, dist[, dist_est]): the nearest center, from 1, the smallest on ties; `carry` keeps the vectors too."""
     shared, sketched = data.sparkSession.sparkContext.broadcast(centers), _sketched(data)
     names = ["id", "idx", "val"] if sketched else ["id", "x"]
 
@@ -100,23 +98,20 @@ def assign(data: DataFrame, centers: Centers, metric: Metric) -> DataFrame:
 
         for batch in it:
             if batch.num_rows:
-                d2 = squared(*_blocks(batch, names, sketched), shared.value, metric)
+                d2 = squared(*blocks(batch, names, sketched), shared.value, metric)
                 k = d2.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((k + 1).astype(np.int32)), pa.array(np.sqrt(d2[np.arange(len(k)), k]))], ["id", "k", "dist"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((k + 1).astype(np.int32)), pa.array(np.sqrt(d2[np.arange(len(k)), k])), *(batch.columns[1:] if carry else [])], ["id", "k", "dist", *(names[1:] if carry else [])])
 
-    out = data.select(*names).mapInArrow(run, "id long, k int, dist double")
+    kept = ", idx array<int>, val array<double>" if sketched else ", x array<double>"
+    out = data.select(*names).mapInArrow(run, "id long, k int, dist double" + (kept if carry else ""))
     if sketched and metric.gamma is not None:
         out = out.withColumn("dist_est", F.col("dist") * F.lit(float(np.sqrt(metric.gamma))))
     return out
 
 
-def assign_columns(data: DataFrame, centers: Centers, d2) -> DataFrame:
-    """The same by column functions, for few and short centers: d2(c, support) makes the squared distance."""
-    best = D.nearest([d2(D.literal(c), F.array(*[F.lit(bool(b)) for b in s])) for c, s in zip(centers.c, centers.support, strict=True)])
-    return data.select("id", best.alias("best")).select("id", F.col("best.k").alias("k"), F.col("best.d2").alias("d2"))
-
-
 PARTIAL = "rep int, k int, n long, d2 double, sums binary, counts binary"
+#: Partial rows of so many bytes in all go to the driver as they are.
+DIRECT_BYTES = 64 << 20
 
 
 def _merge(rows: list[tuple]) -> dict[tuple[int, int], list]:
@@ -128,7 +123,7 @@ def _merge(rows: list[tuple]) -> dict[tuple[int, int], list]:
     return out
 
 
-def _packed(merged: dict):
+def packed(merged: dict):
     import pyarrow as pa
 
     rows = [(rep, k, n, d2, s.tobytes(), c.tobytes()) for (rep, k), (n, d2, s, c) in sorted(merged.items())]
@@ -136,6 +131,23 @@ def _packed(merged: dict):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rep", "k", "n", "d2", "sums", "counts"])
 
 
+def _again(it: Iterator) -> Iterator:
+    merged: dict[tuple[int, int], list] = {}
+    for batch in it:
+        rows = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        rows += [(rep, k, n, d2, s.tobytes(), c.tobytes()) for (rep, k), (n, d2, s, c) in merged.items()]
+        merged = _merge(rows)
+    if merged:
+        yield packed(merged)
+
+
+def merge_partials(partial: DataFrame, parts: int) -> DataFrame:
+    """One row for each replicate and cluster, of partial rows from `parts` partitions; many are merged in two steps."""
+    if parts > 64:
+        partial = partial.withColumn("salt", F.spark_partition_id() % isqrt(parts)).repartition("rep", "k", "salt").drop("salt").mapInArrow(_again, PARTIAL)
+    return partial.repartition("rep", "k").mapInArrow(_again, PARTIAL)
+
+
 def iterate(data: DataFrame, states: dict[int, Centers], metric: Metric) -> dict[tuple[int, int], list]:
     """For each replicate and cluster: [n, sum of d2, sums, counts by coordinate], k from 0, in one pass over the data."""
     shared, sketched = data.sparkSession.sparkContext.broadcast(states), _sketched(data)
@@ -146,7 +158,7 @@ def iterate(data: DataFrame, states: dict[int, Centers], metric: Metric) -> dict
         for batch in it:
             if not batch.num_rows:
                 continue
-            idx, x, real = _blocks(batch, names, sketched)
+            idx, x, real = blocks(batch, names, sketched)
             for rep, centers in shared.value.items():
                 d2 = squared(idx, x, real, centers, metric)
                 best = d2.argmin(axis=1)
@@ -162,21 +174,12 @@ def iterate(data: DataFrame, states: dict[int, Centers], metric: Metric) -> dict
                     have = merged.get((rep, int(k)), [0, 0.0, 0.0, 0])
                     merged[rep, int(k)] = [have[0] + int(own.sum()), have[1] + float(least[own].sum()), have[2] + s, have[3] + c]
         if merged:
-            yield _packed(merged)
-
-    def again(it: Iterator) -> Iterator:
-        merged: dict[tuple[int, int], list] = {}
-        for batch in it:
-            rows = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
-            rows += [(rep, k, n, d2, s.tobytes(), c.tobytes()) for (rep, k), (n, d2, s, c) in merged.items()]
-            merged = _merge(rows)
-        if merged:
-            yield _packed(merged)
+            yield packed(merged)
 
     partial = data.select(*names).mapInArrow(run, PARTIAL)
     parts = data.rdd.getNumPartitions()
-    if parts > 64:
-        partial = partial.repartition(isqrt(parts)).mapInArrow(again, PARTIAL)
+    if parts * sum(map(len, states.values())) * p2 * 16 > DIRECT_BYTES:
+        partial = merge_partials(partial, parts)
     return _merge([tuple(r) for r in partial.collect()])
 
 
@@ -198,22 +201,6 @@ def updated(centers: Centers, merged: dict, rep: int, sketched: bool, ml_correct
     return Centers(c, support), empty
 
 
-def center_update(members: DataFrame) -> DataFrame:
-    """(k, j, c): mean of full vectors (id, k, x), coordinate by coordinate."""
-    return members.select("k", F.posexplode("x").alias("j", "v")).groupBy("k", "j").agg(F.avg("v").alias("c"))
-
-
-def center_update_ml(members: DataFrame) -> DataFrame:
-    """(k, j, n_observed, c): mean over the members (k, idx, val) that have the coordinate."""
-    return members.select("k", F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy("k", F.col("e.idx").alias("j")).agg(F.count(F.lit(1)).alias("n_observed"), F.avg("e.val").alias("c"))
-
-
-def center_update_zero_fill(members: DataFrame, gamma: float) -> DataFrame:
-    """(k, j, c): mean over all members, those without the coordinate counting as zero, of scaled values."""
-    sums = members.select("k", F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy("k", F.col("e.idx").alias("j")).agg(F.sum("e.val").alias("s"))
-    return sums.join(members.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k").select("k", "j", (F.col("s") / (F.lit(gamma) * F.col("n"))).alias("c"))
-
-
 def farthest(assigned: DataFrame, n: int = 1) -> DataFrame:
     """The n rows farthest from their centers, NaN left out, ties by id."""
     return assigned.where(~F.isnan("dist")).orderBy(F.desc("dist"), F.asc("id")).limit(n)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchmeans.functions.hashing import uniform
-from sketchmeans.operators.centers import Centers, Metric, assign
+from sketchmeans.operators.centers import Centers, Metric, blocks, squared
 from sketchmeans.operators.sketch import value_range
 
 
@@ -27,27 +30,52 @@ def init_sample(data: DataFrame, k: int, seed: int, rep: int = 0, hashing: str =
     return data.orderBy(uniform(hashing, F.lit(seed), F.lit("sample"), F.lit(rep), F.col("id")), "id").limit(k)
 
 
-def init_uniform(data: DataFrame, k: int, p2: int, seed: int, rep: int = 0) -> Centers:
-    """Entries uniform between the least and the largest value of the data."""
+def init_uniform(data: DataFrame, k: int, p2: int, seed: int, rep: int = 0, hashing: str = "xxhash64") -> Centers:
+    """Entries uniform between the least and the largest value of the data, by hashes of (seed, replicate, center, place)."""
     r = value_range(data, "val" if "idx" in data.columns else "x").first()
-    rng = np.random.default_rng([seed, rep, 7])
-    return Centers.full(r["least"] + (r["most"] - r["least"]) * rng.random((k, p2)))
+    cells = data.sparkSession.range(k * p2, numPartitions=1).select("id", uniform(hashing, F.lit(seed), F.lit("uniform"), F.lit(rep), F.floor(F.col("id") / p2).cast("long"), F.col("id") % p2).alias("u"))
+    u = np.array([x["u"] for x in cells.orderBy("id").collect()]).reshape(k, p2)
+    return Centers.full(r["least"] + (r["most"] - r["least"]) * u)
+
+
+def _nearer(data: DataFrame, seed: Centers, metric: Metric) -> DataFrame:
+    """The rows with `near`, their least squared distance to any seed, brought down by one more seed."""
+    shared, sketched = data.sparkSession.sparkContext.broadcast(seed), "idx" in data.columns
+    names = ["id", "idx", "val"] if sketched else ["id", "x"]
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in it:
+            if batch.num_rows:
+                d2 = squared(*blocks(batch, names, sketched), shared.value, metric)[:, 0]
+                near = np.minimum(batch.column(batch.num_columns - 1).to_numpy(), d2)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(near)], [*names, "near"])
+
+    return data.select(*names, "near").mapInArrow(run, data.select(*names, "near").schema)
 
 
 def init_kmeanspp(data: DataFrame, k: int, metric: Metric, seed: int, rep: int = 0, hashing: str = "xxhash64") -> tuple[list[int], Centers]:
     """Ids and rows of k seeds: the first uniform, each next in proportion to its squared distance to the seeds so far.
 
     A draw is an exponential race, the least of -ln(u) / d2 with u hashed from (seed, replicate, round, id); if every
-    distance is 0, it is uniform among the rows not chosen yet.
+    distance is 0, it is uniform among the rows not chosen yet. A round measures the distance to the last seed alone and
+    keeps the least one with the row, and its winner brings its vector along: one pass over the data for each seed.
     """
     u = lambda t: uniform(hashing, F.lit(seed), F.lit("pp"), F.lit(rep), F.lit(t), F.col("id"))
     rows = data.orderBy(u(0), "id").limit(1).collect()
+    state = data.withColumn("near", F.lit(float("inf")))
+    held = None
     for t in range(1, k):
-        chosen = [r["id"] for r in rows]
-        near = assign(data, rows_as_centers([r.asDict() for r in rows], metric.p2), metric).where(~F.col("id").isin(chosen))
-        race = F.when(F.col("dist") > 0, -F.log(u(t)) / (F.col("dist") * F.col("dist")))
-        best = near.select("id", race.alias("race"), u(t).alias("u")).orderBy(F.asc_nulls_last("race"), "u", "id").limit(1).collect()
+        state = _nearer(state, rows_as_centers([rows[-1].asDict()], metric.p2), metric).persist(StorageLevel.MEMORY_AND_DISK)
+        race = F.when(F.col("near") > 0, -F.log(u(t)) / F.col("near"))
+        best = state.where(~F.col("id").isin([r["id"] for r in rows])).orderBy(F.asc_nulls_last(race), u(t), "id").limit(1).drop("near").collect()
+        if held is not None:
+            held.unpersist()
+        held = state
         if not best:
             raise ValueError(f"only {t} rows to seed {k} clusters from")
-        rows += data.where(F.col("id") == best[0]["id"]).limit(1).collect()
+        rows += best
+    if held is not None:
+        held.unpersist()
     return [r["id"] for r in rows], rows_as_centers([r.asDict() for r in rows], metric.p2)

@@ -27,10 +27,9 @@ def refill(data: DataFrame, old: Centers, new: Centers, empty: list[int], metric
     if action == "drop":
         keep = [k for k in range(len(new)) if k not in empty]
         return Centers(new.c[keep], new.support[keep])
-    ids = [r["id"] for r in farthest(assign(data, old, metric), len(empty)).collect()]
-    rows = {r["id"]: r.asDict() for r in data.where(data.id.isin(ids)).collect()}
-    for k, i in zip(empty, ids, strict=False):
-        one = rows_as_centers([rows[i]], metric.p2)
+    rows = farthest(assign(data, old, metric, carry=True), len(empty)).collect()
+    for k, row in zip(empty, rows, strict=False):
+        one = rows_as_centers([row.asDict()], metric.p2)
         new.c[k], new.support[k] = one.c[0], one.support[0]
     return new
 
@@ -42,7 +41,8 @@ def shift(a: Centers, b: Centers) -> float:
 def lloyd(data: DataFrame, seeds: list[Centers], metric: Metric, params: Params) -> tuple[Centers, Centers, RunInfo]:
     """(centers, the centers the assignment belongs to, info) of the best replicate.
 
-    As the update comes after the assignment, assignments and objective belong to the centers before the last update.
+    As the update comes after the assignment, assignments and objective belong to the centers before the last update;
+    if that update has dropped clusters, to the centers that are left, so that no label names a dropped one.
     The first of equal objectives wins. NaN in a center, or no finite objective at all, raises ArithmeticError.
     """
     sketched, info = "idx" in data.columns, RunInfo()
@@ -74,7 +74,11 @@ def lloyd(data: DataFrame, seeds: list[Centers], metric: Metric, params: Params)
     if not np.isfinite(objective).any():
         raise ArithmeticError("no replicate has a finite objective")
     info.best = int(np.nanargmin(objective))
+    final, used = seeds[info.best], before[info.best]
+    if len(final) != len(used):
+        used = final
+        objective[info.best] = float(np.sqrt(sum(v[1] for v in iterate(data, {0: final}, metric).values())))
     info.iterations, info.stopping_diff, info.objectives = count, diff, objective
     if params.verbose != "off":
         log.info("best of %d replicates: objective %g", n, objective[info.best])
-    return seeds[info.best], before[info.best], info
+    return final, used, info

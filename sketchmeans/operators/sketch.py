@@ -28,7 +28,7 @@ def sample_indices(id_col: Column, p2: int, m: int, seed: int, hashing: str = "m
 def sketch(vectors: DataFrame, transform: Transform, shape: SketchShape, seed: int = 0, hashing: str = "xxhash64", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, idx, val): the mixed vectors' sampled coordinates, unscaled, with their places; and the columns `carry`."""
     if hashing == "xxhash64" and shape.p2 > WIDE:
-        return _sketch_wide(vectors.select("id", "x", *carry), transform, shape, seed, carry)
+        return _sketch_wide(vectors, transform, shape, seed, carry)
     mixed = vectors.select("id", transform.column(F.col("x")).alias("y"), *carry)
     placed = mixed.select("id", "y", sample_indices(F.col("id"), shape.p2, shape.m, seed, hashing).alias("idx"), *carry)
     return placed.select("id", "idx", F.transform("idx", lambda j: F.get(F.col("y"), j)).alias("val"), *carry)
@@ -57,14 +57,14 @@ def _sketch_wide(vectors: DataFrame, transform: Transform, shape: SketchShape, s
             cols = [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(idx.ravel().astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.take_along_axis(y, idx, axis=1).ravel()))]
             yield pa.RecordBatch.from_arrays([*cols, *[batch.column(2 + i) for i in range(len(carry))]], ["id", "idx", "val", *carry])
 
-    schema = vectors.drop("x").selectExpr("id", "cast(null as array<int>) idx", "cast(null as array<double>) val", *carry).schema
-    return vectors.mapInArrow(run, schema)
+    schema = vectors.selectExpr("id", "cast(null as array<int>) idx", "cast(null as array<double>) val", *carry).schema
+    return vectors.select("id", F.col("x").alias("mixed"), *carry).mapInArrow(run, schema)
 
 
-def from_zeros(vectors: DataFrame) -> DataFrame:
+def from_zeros(vectors: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """A sketch whose mask is the entries that aren't zero, for sources in which zero means missing."""
     idx = F.filter(F.sequence(F.lit(0), F.size("x") - 1), lambda j: F.get(F.col("x"), j) != 0)
-    return vectors.select("id", idx.alias("idx"), F.filter("x", lambda v: v != 0).alias("val"))
+    return vectors.select("id", idx.alias("idx"), F.filter("x", lambda v: v != 0).alias("val"), *carry)
 
 
 def sketch_density(sketched: DataFrame, p2: int) -> DataFrame:

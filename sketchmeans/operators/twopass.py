@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchmeans.functions.transforms import Transform
-from sketchmeans.operators.centers import Centers, Metric, assign, center_update
+from sketchmeans.operators.centers import PARTIAL, Centers, Metric, assign, blocks, merge_partials, packed, squared
 
 
 def unmix_centers(centers: Centers, transform: Transform) -> Centers:
     return Centers.full(transform.adjoint(centers.c))
 
 
-def two_pass_centers(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(k, j, c): mean of the raw members of each cluster; a cluster without members has no rows."""
-    return center_update(vectors.join(assigned.select("id", "k"), "id"))
+def two_pass_centers(rows: DataFrame, centers: Centers, metric: Metric) -> DataFrame:
+    """(k, j, c): mean of the raw vectors of each cluster, in one pass; a cluster without members has no rows.
+
+    `rows` has the raw vector x and, if the assignment is that of a sketch, its idx and val. Each row is assigned and
+    added up where it lies, so ids need not be unique and nothing is joined.
+    """
+    shared, sketched = rows.sparkSession.sparkContext.broadcast(centers), "idx" in rows.columns
+    names = ["id", "idx", "val"] if sketched else ["id", "x"]
+
+    def sums(it: Iterator) -> Iterator:
+        total: dict[tuple[int, int], list] = {}
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            raw = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            d2 = squared(*blocks(batch, names, sketched), shared.value, metric)
+            best = d2.argmin(axis=1)
+            for k in np.unique(best):
+                own = best == k
+                have = total.get((0, int(k)), [0, 0.0, 0.0, np.zeros(0, np.int64)])
+                total[0, int(k)] = [have[0] + int(own.sum()), have[1] + float(d2[own, k].sum()), have[2] + raw[own].sum(axis=0), have[3]]
+        if total:
+            yield packed(total)
+
+    def means(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in it:
+            for k, n, s in zip(*[batch.column(i).to_pylist() for i in (1, 2, 4)], strict=True):
+                c = np.frombuffer(s) / n
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k + 1, np.int32)), pa.array(np.arange(len(c), dtype=np.int32)), pa.array(c)], ["k", "j", "c"])
+
+    partial = rows.select(*dict.fromkeys([*names, "x"])).mapInArrow(sums, PARTIAL)
+    return merge_partials(partial, rows.rdd.getNumPartitions()).mapInArrow(means, "k int, j int, c double")
 
 
 def two_pass_assign(vectors: DataFrame, unmixed: Centers) -> DataFrame:

@@ -5,6 +5,8 @@ Results are in long form, numbers rounded to six places, so that both engines' s
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,30 +150,28 @@ def fwht_orthonormal(spark, d):
     return long(vectors(spark, d).select("id", T.fwht_orthonormal(F.col("x"), P).alias("x")))
 
 
-COSINE = f"SELECT id, k::INTEGER AS j, round(sum(x * cos(pi() * (j + 0.5) * k / {CUT})) * CASE WHEN k = 0 THEN sqrt(1.0 / {CUT}) ELSE sqrt(2.0 / {CUT}) END, 6) + 0.0 AS v FROM w CROSS JOIN range({CUT}) t(k) GROUP BY id, k"
+COSINE = f"SELECT id, k::INTEGER AS j, round(sum(x * cos(pi() * (j + 0.5) * k / {P})) * CASE WHEN k = 0 THEN sqrt(1.0 / {P}) ELSE sqrt(2.0 / {P}) END, 6) + 0.0 AS v FROM v CROSS JOIN range({P}) t(k) GROUP BY id, k"
 
 
-@query(f"WITH {VCUT} {COSINE}")
+@query(f"WITH {VEC} {COSINE}")
 def dct(spark, d):
-    m = T.dct_matrix(CUT)
-    return long(vectors(spark, d, CUT).select("id", T.rows_udf(lambda x: x @ m.T)(F.col("x")).alias("x")))
+    return long(vectors(spark, d).select("id", T.Transform("dct", P, sign_kind="ones").column(F.col("x")).alias("x")))
 
 
-@query(f"WITH {VCUT} SELECT id, i::INTEGER AS j, round(sum(x * cos(pi() * (i + 0.5) * j / {CUT}) * CASE WHEN j = 0 THEN sqrt(1.0 / {CUT}) ELSE sqrt(2.0 / {CUT}) END), 6) + 0.0 AS v FROM w CROSS JOIN range({CUT}) t(i) GROUP BY id, i")
+@query(f"WITH {VEC} SELECT id, i::INTEGER AS j, round(sum(x * cos(pi() * (i + 0.5) * j / {P}) * CASE WHEN j = 0 THEN sqrt(1.0 / {P}) ELSE sqrt(2.0 / {P}) END), 6) + 0.0 AS v FROM v CROSS JOIN range({P}) t(i) GROUP BY id, i")
 def idct(spark, d):
-    m = T.dct_matrix(CUT)
-    return long(vectors(spark, d, CUT).select("id", T.rows_udf(lambda x: x @ m)(F.col("x")).alias("x")))
+    return long(T.map_rows(vectors(spark, d), T.Transform("dct", P, sign_kind="ones").adjoint))
 
 
-@query(f"WITH {VCUT}, {SIGN}, f AS (SELECT id, j, x * s AS x FROM w JOIN sg USING (j)) {WALSH.format('f', ' / 8')}")
+@query(f"WITH {VEC}, {SIGN}, f AS (SELECT id, j, x * s AS x FROM v JOIN sg USING (j)) {WALSH.format('f', ' / 8')}")
 def mix(spark, d):
-    return long(vectors(spark, d, CUT).select("id", T.Transform("hadamard", CUT, SEED).column(F.col("x")).alias("x")))
+    return long(vectors(spark, d).select("id", T.Transform("hadamard", P, SEED).column(F.col("x")).alias("x")))
 
 
-@query(f"WITH {VCUT} SELECT id, j, round(x, 6) + 0.0 AS v FROM w")
+@query(f"WITH {VEC} SELECT id, j, round(x, 6) + 0.0 AS v FROM v")
 def unmix_roundtrip(spark, d):
-    t = T.Transform("hadamard", CUT, SEED)
-    return long(T.map_rows(vectors(spark, d, CUT).select("id", t.column(F.col("x")).alias("x")), t.adjoint))
+    t = T.Transform("hadamard", P, SEED)
+    return long(T.map_rows(vectors(spark, d).select("id", t.column(F.col("x")).alias("x")), t.adjoint))
 
 
 @query(f"WITH {VEC}, {C0}, {SIGN}, y AS (SELECT k, i::INTEGER AS j, sum(CASE WHEN bit_count(i & j) % 2 = 0 THEN c ELSE -c END) / 8 AS c FROM c0 CROSS JOIN range({P}) t(i) GROUP BY k, i) SELECT k, j, round(c * s, 6) + 0.0 AS c FROM y JOIN sg USING (j)")
@@ -179,7 +179,7 @@ def unmix_centers(spark, d):
     return centers_frame(spark, twopass.unmix_centers(dense_seeds(spark, d), T.Transform("hadamard", P, SEED)).c)
 
 
-@query()
+@query(f"WITH {VEC}, {SIGN} SELECT id, ({P - 1} - j)::INTEGER AS j, round(x * s, 6) + 0.0 AS v FROM v JOIN sg USING (j)")
 def user_transform(spark, d):
     """A pair of functions of one's own: reversal and its inverse, after the signs."""
     flip = lambda x: x[:, ::-1]
@@ -234,20 +234,21 @@ def assign_dense(spark, d):
     return C.assign(data, first_rows(data), C.Metric(P)).select("id", "k", r6(F.col("dist"), "dist"))
 
 
-def _by_columns(spark, d, d2) -> DataFrame:
-    data = plain_sketch(spark, d)
-    return C.assign_columns(data, d2[0](spark, d, data), lambda c, s: d2[1](F.col("idx"), F.col("val"), c, s)).select("id", "k", r6(F.col("d2"), "d2"))
+def _assigned(spark, d, centers: C.Centers, metric: C.Metric, factor: float = 1.0) -> DataFrame:
+    """(id, k, d2) of the plain sketch by the kernel that cluster() uses; `factor` scales d2 to another's formula."""
+    out = C.assign(plain_sketch(spark, d), centers, metric)
+    return out.select("id", "k", r6(F.col("dist") * F.col("dist") * factor, "d2"))
 
 
 @query(f"WITH {VEC}, {MASK}, {C0}, d AS (SELECT id, k, sum((x - c) * (x - c)) AS d2 FROM mk JOIN c0 USING (j) GROUP BY id, k), a AS ({NEAR.format('d')}) {NEAREST}")
 def assign_masked(spark, d):
-    return _by_columns(spark, d, (lambda s, d, _: dense_seeds(s, d), lambda i, v, c, s: D.masked(i, v, c)))
+    return _assigned(spark, d, dense_seeds(spark, d), C.Metric(P))
 
 
 @query(f"WITH {VEC}, {MASK}, {C0}, d AS (SELECT id, k, sum((x * 4.0 - c * 4.0) * (x * 4.0 - c * 4.0)) AS d2 FROM mk JOIN c0 USING (j) GROUP BY id, k), a AS ({NEAR.format('d')}) {NEAREST}")
 def assign_sketched(spark, d):
     """Both sides over gamma."""
-    return _by_columns(spark, d, (lambda s, d, _: dense_seeds(s, d), lambda i, v, c, s: D.masked(i, v, c, 4.0, 4.0)))
+    return _assigned(spark, d, dense_seeds(spark, d), C.Metric(P, M / P))
 
 
 def _own_support(scale: str) -> str:
@@ -257,13 +258,14 @@ def _own_support(scale: str) -> str:
 @query(_own_support("4.0"))
 def assign_intersect(spark, d):
     """Sketched centers and rows, both scaled by 1 / gamma, over the places both have."""
-    return _by_columns(spark, d, (lambda s, d, data: first_rows(data), lambda i, v, c, s: D.intersected(i, v, c, s, 4.0, 4.0)))
+    own = first_rows(plain_sketch(spark, d))
+    return _assigned(spark, d, C.Centers(own.c * P / M, own.support), C.Metric(P, M / P, unbiased=False))
 
 
 @query(_own_support("16.0"))
 def assign_intersect_gamma(spark, d):
-    """The same with the share of places the center has taken into account too: 1 / (gamma * gamma_c)."""
-    return _by_columns(spark, d, (lambda s, d, data: first_rows(data), lambda i, v, c, s: D.intersected(i, v, c, s, 16.0, 16.0)))
+    """Each side over gamma times the center's share of places; the kernel divides the squares by that share once."""
+    return _assigned(spark, d, first_rows(plain_sketch(spark, d)), C.Metric(P, M / P), P / M)
 
 
 @query(f"WITH {VEC}, {C0} SELECT id, k, round(sqrt(sum((x - c) * (x - c))), 6) + 0.0 AS dist FROM v JOIN c0 USING (j) GROUP BY id, k")
@@ -298,24 +300,35 @@ def members(spark, d) -> DataFrame:
     return data.join(C.assign(data, first_rows(data), C.Metric(P)).select("id", "k"), "id")
 
 
-def sketch_members(spark, d) -> DataFrame:
-    """The plain sketch under the assignment of full vectors."""
-    return plain_sketch(spark, d).join(members(spark, d).select("id", "k"), "id")
+def _updated(spark, d, data: DataFrame, metric: C.Metric, ml: bool = True) -> tuple[C.Centers, dict]:
+    """Centers after one iteration from the first rows, and the sums they come from."""
+    seeds = dense_seeds(spark, d)
+    sums = C.iterate(data, {0: seeds}, metric)
+    return C.updated(seeds, sums, 0, "idx" in data.columns, ml, metric.gamma)[0], sums
+
+
+def _long_centers(spark, c: C.Centers, sums: dict) -> DataFrame:
+    """(k, j, n_observed, c) of the coordinates that members have."""
+    rows = [(k + 1, j, int(n), float(c.c[k, j])) for (_, k), (_, _, _, counts) in sorted(sums.items()) for j, n in enumerate(counts) if n]
+    return spark.createDataFrame(rows, "k int, j int, n_observed long, c double").select("k", "j", "n_observed", r6(F.col("c"), "c"))
 
 
 @query(f"WITH {lloyd_sql(1)} SELECT k, j, round(c, 6) + 0.0 AS c FROM c1")
 def center_update(spark, d):
-    return C.center_update(members(spark, d)).select("k", "j", r6(F.col("c"), "c"))
+    return _long_centers(spark, *_updated(spark, d, vectors(spark, d), C.Metric(P))).drop("n_observed")
 
 
-@query(f"WITH {A0}, {MASK} SELECT k, j, count(*) AS n_observed, round(avg(x), 6) + 0.0 AS c FROM mk JOIN a0 USING (id) GROUP BY k, j")
+S0 = f"{VEC}, {MASK}, {C0}, d0 AS (SELECT id, k, sum((x - c) * (x - c)) AS d2 FROM mk JOIN c0 USING (j) GROUP BY id, k), a0 AS ({NEAR.format('d0')})"
+
+
+@query(f"WITH {S0} SELECT k, j, count(*) AS n_observed, round(avg(x), 6) + 0.0 AS c FROM mk JOIN a0 USING (id) GROUP BY k, j")
 def center_update_ml(spark, d):
-    return C.center_update_ml(sketch_members(spark, d)).select("k", "j", "n_observed", r6(F.col("c"), "c"))
+    return _long_centers(spark, *_updated(spark, d, plain_sketch(spark, d), C.Metric(P, M / P)))
 
 
-@query(f"WITH {A0}, {MASK}, n AS (SELECT k, count(*) AS n FROM a0 GROUP BY k) SELECT k, j, round(sum(x) * {P / M} / any_value(n), 6) + 0.0 AS c FROM mk JOIN a0 USING (id) JOIN n USING (k) GROUP BY k, j")
+@query(f"WITH {S0}, n AS (SELECT k, count(*) AS n FROM a0 GROUP BY k) SELECT k, j, round(sum(x) * {P / M} / any_value(n), 6) + 0.0 AS c FROM mk JOIN a0 USING (id) JOIN n USING (k) GROUP BY k, j")
 def center_update_zero_fill(spark, d):
-    return C.center_update_zero_fill(sketch_members(spark, d), M / P).select("k", "j", r6(F.col("c"), "c"))
+    return _long_centers(spark, *_updated(spark, d, plain_sketch(spark, d), C.Metric(P, M / P), ml=False)).drop("n_observed")
 
 
 FAR = f"{VEC}, c0 AS (SELECT (id + 1)::INTEGER AS k, j, x AS c FROM v WHERE id < {K - 1} UNION ALL SELECT {K}, j::INTEGER, 100.0 FROM range({P}) t(j))"
@@ -376,9 +389,9 @@ def init_sample(spark, d):
     return I.init_sample(vectors(spark, d), K, SEED, 0, "md5").select("id")
 
 
-@query()
+@query(f"WITH {VEC}, r AS (SELECT min(x) AS a, max(x) AS b FROM v) SELECT (t.k + 1)::INTEGER AS k, j.j::INTEGER AS j, round(a + (b - a) * (({H(f"'{SEED}|uniform|0|' || t.k || '|' || j.j")}) + 0.5) / 4294967296.0, 6) + 0.0 AS c FROM r CROSS JOIN range({K}) t(k) CROSS JOIN range({P}) j(j)")
 def init_uniform(spark, d):
-    return centers_frame(spark, I.init_uniform(vectors(spark, d), K, P, SEED).c)
+    return centers_frame(spark, I.init_uniform(vectors(spark, d), K, P, SEED, 0, "md5").c)
 
 
 def _kmeanspp_sql() -> str:
@@ -476,22 +489,24 @@ def replicates_best(spark, d):
 SK = _sketched_sql().removeprefix("WITH ").split(" SELECT id, k, round(sqrt(d2), 6)")[0]
 
 
-def _sketched(spark, d):
-    data, metric = plain_sketch(spark, d), C.Metric(P, M / P)
-    new, used, _ = lloyd(data, [dense_seeds(spark, d)], metric, Params(max_iter=2, tol=0.0))
-    return new, C.assign(data, used, metric)
+def _sketched(spark, d) -> tuple[C.Centers, C.Centers, C.Metric]:
+    metric = C.Metric(P, M / P)
+    new, used, _ = lloyd(plain_sketch(spark, d), [dense_seeds(spark, d)], metric, Params(max_iter=2, tol=0.0))
+    return new, used, metric
 
 
 @query(f"WITH {SK} SELECT k, j, round(avg(x), 6) + 0.0 AS c FROM v JOIN a1 USING (id) GROUP BY k, j")
 def two_pass_centers(spark, d):
-    return twopass.two_pass_centers(vectors(spark, d), _sketched(spark, d)[1]).select("k", "j", r6(F.col("c"), "c"))
+    _, used, metric = _sketched(spark, d)
+    rows = S.sketch(vectors(spark, d), T.Transform("none", P), PLAIN, SEED, "md5", carry=("x",))
+    return twopass.two_pass_centers(rows, used, metric).select("k", "j", r6(F.col("c"), "c"))
 
 
 SECOND = f"{SK}, f AS (SELECT k, t.j::INTEGER AS j, coalesce(c, 0) AS c FROM (SELECT DISTINCT k FROM a1) CROSS JOIN range({P}) t(j) LEFT JOIN c2 USING (k, j)), d9 AS (SELECT id, k, sum((x - c) * (x - c)) AS d2 FROM v JOIN f USING (j) GROUP BY id, k), a9 AS ({NEAR.format('d9')})"
 
 
 def _second(spark, d) -> DataFrame:
-    new, _ = _sketched(spark, d)
+    new = _sketched(spark, d)[0]
     return twopass.two_pass_assign(vectors(spark, d), twopass.unmix_centers(new, T.Transform("none", P)))
 
 
@@ -508,14 +523,36 @@ def sumd_two_pass(spark, d):
 # --- whole runs ------------------------------------------------------------------------------------------------------
 
 
-@query()
-def cluster_sketched(spark, d):
-    """Sketch, seed, iterate and choose among replicates, as a user would; assignments of the second pass."""
-    result = cluster(vectors(spark, d), 10, sparsify=True, sparsity=0.25, replicates=2, max_iter=10, seed=SEED)
-    return result.two_pass_assignments.select("id", "k", r6(F.col("dist"), "dist"))
+def _seeded_sql(steps: int) -> str:
+    """Four seeds as init_kmeanspp draws them, then iterations."""
+    seeds = _kmeanspp_sql().removeprefix(f"WITH {VEC}, ").removesuffix(" SELECT t::INTEGER AS round, id FROM s3")
+    seeds = re.sub(r"\bd([0-9])\b", r"e\1", seeds)
+    return lloyd_sql(steps, f"{VEC}, {seeds}, c0 AS (SELECT (t + 1)::INTEGER AS k, j, x AS c FROM v JOIN s3 USING (id))")
 
 
-@query()
+@query(f"WITH {_seeded_sql(3)} SELECT id, k, round(sqrt(d2), 6) + 0.0 AS dist FROM a2")
 def cluster_dense(spark, d):
-    result = cluster(vectors(spark, d), 10, max_iter=10, seed=SEED)
+    """Seed and iterate, as a user would, with hashes that SQL has too."""
+    result = cluster(vectors(spark, d), 4, max_iter=3, tol=0.0, seed=SEED, hashing="md5")
     return result.assignments.select("id", "k", r6(F.col("dist"), "dist"))
+
+
+def _cluster_sketched_sql() -> str:
+    """Mix, sample, seed from sketched rows, two iterations over what rows and centers have, un-mix, assign again."""
+    mixed = WALSH.format("f", " / 8").replace("round(", "(").replace(", 6) + 0.0", ")")
+    parts = [VEC, SIGN, f"f AS (SELECT id, j, x * s AS x FROM v JOIN sg USING (j)), y AS ({mixed})", MASK.replace("id, j, x", "id, j").replace("mk AS", "mj AS"), "mk AS (SELECT y.id, y.j, y.v AS x FROM y JOIN mj ON y.id = mj.id AND y.j = mj.j)"]
+    parts.append(f"s AS (SELECT vec_id AS id, (row_number() OVER (ORDER BY {H(f"'{SEED}|sample|0|' || vec_id")}, vec_id))::INTEGER AS k FROM embeddings QUALIFY k <= {K})")
+    parts.append("c0 AS (SELECT k, j, x AS c FROM mk JOIN s USING (id))")
+    for t in range(2):
+        parts.append(f"h{t} AS (SELECT k, {P}.0 / count(*) AS f FROM c{t} GROUP BY k), e{t} AS (SELECT id, k, sum((x - c) * (x - c)) AS d2 FROM mk JOIN c{t} USING (j) GROUP BY id, k)")
+        parts.append(f"d{t} AS (SELECT i.vec_id AS id, h.k, coalesce(d2, 0) * h.f AS d2 FROM embeddings i CROSS JOIN h{t} h LEFT JOIN e{t} e ON e.id = i.vec_id AND e.k = h.k), a{t} AS ({NEAR.format(f'd{t}')}), c{t + 1} AS (SELECT k, j, avg(x) AS c FROM mk JOIN a{t} USING (id) GROUP BY k, j)")
+    parts.append(f"u AS (SELECT k, i::INTEGER AS j, sum(CASE WHEN bit_count(i & j) % 2 = 0 THEN c ELSE -c END) / 8 AS c FROM c2 CROSS JOIN range({P}) t(i) GROUP BY k, i), w AS (SELECT k, j, c * s AS c FROM u JOIN sg USING (j))")
+    parts.append(f"d9 AS (SELECT id, k, sum((x - c) * (x - c)) AS d2 FROM v JOIN w USING (j) GROUP BY id, k), a9 AS ({NEAR.format('d9')})")
+    return f"WITH {', '.join(parts)} SELECT id, k, round(sqrt(d2), 6) + 0.0 AS dist FROM a9"
+
+
+@query(_cluster_sketched_sql())
+def cluster_sketched(spark, d):
+    """Sketch, seed, iterate and un-mix, as a user would; assignments of the second pass."""
+    result = cluster(vectors(spark, d), K, sparsify=True, sparsity=M / P, init="sample", max_iter=2, tol=0.0, seed=SEED, hashing="md5")
+    return result.two_pass_assignments.select("id", "k", r6(F.col("dist"), "dist"))

@@ -36,7 +36,10 @@ def scan_vectors(df: DataFrame, id_col: str = "id", x_col: str | None = None, sa
 def columns_as_samples(df: DataFrame, j: str = "j", id_col: str = "id", v: str = "v") -> DataFrame:
     """Long form (row j, sample id, value v) as vectors: the transpose of a matrix whose samples are columns."""
     rows = df.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(j).alias("j"), F.col(v).cast("double").alias("v")))).alias("cells"))
-    return rows.select("id", F.transform("cells", lambda c: c["v"]).alias("x"))
+    # Places must be 0 to p - 1, each once; else the vector is null, which checked_shape() refuses.
+    js = F.col("cells.j")
+    whole = (F.array_min(js) == 0) & (F.array_max(js) == F.size(js) - 1) & (F.size(F.array_distinct(js)) == F.size(js))
+    return rows.select("id", F.when(whole, F.transform("cells", lambda c: c["v"])).alias("x"))
 
 
 @dataclass(frozen=True)
