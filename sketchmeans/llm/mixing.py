@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting (DataFrame operations only).
 
 Documents are counted into cells of source, language and topic. The cells' token weights are raked to each marginal in
-turn, a window sum over the cells of one value, ROUNDS times over; then each cell's documents are kept with probability
+turn, by a grouped sum over the cells of each value, ROUNDS times over; then each cell's documents are kept with probability
 min(1, scale * weight / tokens), where the scale makes the expected tokens the budget. Only cells are raked, and a
 document's draw is a hash of its id, so nothing depends on how rows are dealt, and no row is moved for it.
 """
@@ -63,16 +63,23 @@ def _target(cells: DataFrame, dim: str, rule: dict[str, float] | float) -> DataF
 
 
 def rake(cells: DataFrame, marginals: dict[str, dict[str, float] | float], rounds: int = ROUNDS) -> DataFrame:
-    """Cells with `weight`: shares of all tokens that meet the marginals as nearly as the cells present allow."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    """Cells with `weight`: shares of all tokens that meet the marginals as nearly as the cells present allow.
+
+    A turn is a sum by value, combined before its shuffle, which all cells of the value then get; an empty table of cells
+    gives an empty one.
+    """
+    row = cells.agg(F.sum("tokens"), *[F.count_distinct(d) for d in marginals]).first()
+    few = {d: n <= BROADCAST_CELLS for d, n in zip(marginals, row[1:], strict=True)}
+    small = lambda by, dim: F.broadcast(by) if few[dim] else by
     for dim, rule in marginals.items():
-        cells = cells.join(_target(cells.select(dim, "tokens"), dim, rule).withColumnRenamed("target", f"target_{dim}"), dim)
-    cells = checkpoint(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))))
+        cells = cells.join(small(_target(cells.select(dim, "tokens"), dim, rule).withColumnRenamed("target", f"target_{dim}"), dim), dim)
+    cells = checkpoint(cells.withColumn("weight", F.col("tokens") / F.lit(float(row[0] or 1))))
     for _ in range(rounds):
         for dim in marginals:
-            whole = F.sum("weight").over(Window.partitionBy(dim))
-            cells = cells.withColumn("weight", F.when(whole > 0, F.col("weight") * F.col(f"target_{dim}") / whole).otherwise(F.lit(0.0)))
-    return checkpoint(cells)
+            whole = cells.groupBy(dim).agg(F.sum("weight").alias("whole"))
+            weight = F.when(F.col("whole") > 0, F.col("weight") * F.col(f"target_{dim}") / F.col("whole")).otherwise(F.lit(0.0))
+            cells = checkpoint(cells.join(small(whole, dim), dim).withColumn("weight", weight).drop("whole"))
+    return cells
 
 
 def probabilities(cells: DataFrame, budget: float, scalings: int = SCALINGS) -> DataFrame:
