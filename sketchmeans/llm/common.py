@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -45,16 +48,37 @@ def row_key(*columns: Column) -> list[Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set, as in tests."""
+    """The folder all executors share. Only a local master, as in tests, gets one of its own, which goes with the process;
+    a cluster without spark.checkpoint.dir raises RuntimeError, as a machine's own folder would lose the others' parts."""
     found = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sketchmeans-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sketchmeans-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """What this application writes into the shared folder is under here."""
+    return f"{shared_dir(spark)}/sketchmeans/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/sketchmeans/{what}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a written folder that no frame in use reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this application has written there, once its results are stored elsewhere."""
+    remove(spark, own_dir(spark))
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -66,7 +90,8 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder; Spark removes the files once the frame is no longer used."""
+    """checkpoint() in the shared folder. Spark removes the files of a frame no longer used only where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set; else they stay until the folder is cleared."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 

@@ -11,6 +11,7 @@ the payloads it doesn't need.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from base64 import b32encode
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
-from sketchmeans.llm.common import checkpoint, new_path, text_of
+from sketchmeans.llm.common import checkpoint, join_counted, materialize, new_path, text_of
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
@@ -30,6 +31,7 @@ DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, block_digest_ok boolean, content_length long, payload binary"
 #: Header of each column that a filter can be pushed down for.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
+BATCH_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -47,18 +49,19 @@ def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = DATE) -> str:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = DATE, compression: str = "none") -> str:
     """Writes one record a row under `path`: a response, or a revisit that refers to the response with the same payload.
 
     Of rows with equal payloads of at least `min_bytes` bytes the largest id is the response; smaller payloads are always
     responses. Null payloads are empty; line breaks in a URL become spaces, a null URL is empty. Rows that repeat the
-    largest id are responses each; rows without an id rank below all others. An empty table writes an empty folder.
+    largest id are responses each; rows without an id rank below all others. An empty table writes an empty folder; other
+    columns are left out. `compression` may be "gzip".
     """
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "[\r\n]+", " ").alias("uri"), text_of(body_col).alias("body"))
     rows = rows.select("*", F.sha1("body").alias("hex"), F.octet_length("body").cast("long").alias("bytes"))
-    first = rows.groupBy("hex", "bytes").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).drop("n")
+    first = rows.groupBy("hex", "bytes").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= min_bytes))
     # An id may come with several payloads, so the digest is part of the key.
-    again = checkpoint(rows.select("id", "hex", "bytes").join(first, ["hex", "bytes"]).where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("id_"), "first", F.col("hex").alias("hex_")).distinct())
+    again = checkpoint(join_counted(rows.select("id", "hex", "bytes"), materialize(first, "responses"), ["hex", "bytes"], width=120).where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("id_"), "first", F.col("hex").alias("hex_")).distinct())
     few = F.broadcast(again) if again.count() <= BROADCAST_REVISITS else again
     joined = rows.join(few, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hex") == F.col("hex_")), "left").select("id", "uri", "body", "first", F.col("hex_").isNotNull().alias("revisit"), base32_of(F.col("hex")).alias("digest"))
     head = F.concat(
@@ -75,7 +78,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.when(F.col("revisit"), F.lit(0)).otherwise(F.octet_length("body")).cast("string"),
         F.lit(END),
     )
-    joined.select(F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("body"))).alias("value")).write.option("lineSep", END).text(path)
+    joined.select(F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("body"))).alias("value")).write.option("lineSep", END).text(path, compression=compression)
     return path
 
 
@@ -153,7 +156,7 @@ class WarcReader(DataSourceReader):
         system, _ = open_path(self.path)
         for path in partition.value:
             with system.open_input_file(path) as f:
-                yield from self.records(f)
+                yield from packed(self.records(gzip.GzipFile(fileobj=f) if path.endswith(".gz") else f))
 
     def records(self, raw) -> Iterator[tuple]:
         """Rows of one archive; raises ValueError where a record is cut off or has no valid header."""
@@ -183,8 +186,26 @@ class WarcReader(DataSourceReader):
             yield (*row, ok, length, body if self.payload else None)
 
 
+def packed(rows: Iterator[tuple]) -> Iterator:
+    """Arrow batches of at most some BATCH_BYTES of payload, or one record."""
+    import pyarrow as pa
+
+    kinds = [pa.string()] * len(HEADERS) + [pa.bool_(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"") + 500
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], names)
+
+
 class Buffered:
-    """Lines and exact reads over a seekable Arrow file."""
+    """Lines and exact reads over a seekable file; over a gzip file (of one member or many) a seek reads on."""
 
     STEP = 1 << 20
 
@@ -229,14 +250,20 @@ def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def resolve(responses: DataFrame, revisits: DataFrame) -> DataFrame:
-    """All records with the length of their full payload, which a revisit takes from the response it refers to.
+    """All records with length and digest of their full payload, which a revisit takes from the response it refers to.
 
-    The two frames must come from two calls of read_warc(): Spark keeps pushed filters with the loaded relation, so two
-    filters on one loaded frame would meet in one reader. A revisit without its response has a null length.
+    Of responses both hold only if the payload has been read and has that digest, so they must be read with `verify`. The two frames must come from two calls of read_warc(): Spark keeps pushed filters with the loaded relation, so two
+    filters on one loaded frame would meet in one reader. A revisit whose response isn't there, or has another digest than
+    the revisit names, has a null length. Revisits are counted by response, so that those of one are not one task's.
     """
     names = ["record_id", "record_type", "target_uri", "refers_to", "payload_digest", "full_length"]
-    length = responses.groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("content_length").alias("full_length"))
-    return responses.withColumn("full_length", F.col("content_length")).select(names).unionByName(revisits.join(length, ["refers_to", "payload_digest"], "left").select(names))
+    on = ["refers_to", "payload_digest"]
+    sound = lambda c: F.when(F.col("block_digest_ok"), F.col(c))
+    whole = materialize(responses.select("record_id", "record_type", "target_uri", "refers_to", sound("payload_digest").alias("payload_digest"), sound("content_length").alias("full_length")), "read-responses")
+    again = materialize(revisits.select("record_id", "record_type", "target_uri", *on), "read-revisits")
+    length = whole.groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("full_length").alias("full_length"))
+    known = materialize(again.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).join(length, on), "referred")
+    return whole.select(names).unionByName(join_counted(again, known, on, "left", width=160).select(names))
 
 
 ORACLE = f"""
@@ -254,7 +281,8 @@ FROM m
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = write_warc(pages, new_path(spark, "warc"))
-    records = resolve(*[read_warc(spark, path, payload=False).where(F.col("record_type") == kind) for kind in ("response", "revisit")])
+    # Every payload is read and hashed; what fails the check of its digest has neither digest nor length here.
+    records = resolve(*[read_warc(spark, path, payload=False, verify=True).where(F.col("record_type") == kind) for kind in ("response", "revisit")])
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
     to_long = lambda c: F.when(number(c) != "", number(c).cast("long"))
     return records.select(to_long("record_id").alias("page_id"), F.col("full_length").alias("payload_bytes"), F.expr("substring(payload_digest, 6)").alias("payload_digest"), "record_type", to_long("refers_to").alias("refers_to"))
