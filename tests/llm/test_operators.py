@@ -1,6 +1,7 @@
 """The ten operators: against SQL, against brute force on small tables, and on odd rows."""
 
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -142,6 +143,48 @@ def test_toxicity_uses_no_held_out_label(spark):
     assert (a == b).all()
 
 
+def test_gradients():
+    """Against finite differences, in doubles."""
+    model = toxicity.Model()
+    for name in ("table", "out", "base"):
+        setattr(model, name, getattr(model, name).astype(float) * 3)
+    model.filters, model.bias = [f.astype(float) for f in model.filters], [b.astype(float) + 0.05 for b in model.bias]
+    rng = np.random.default_rng(1)
+    texts = [np.concatenate([rng.integers(0, 50, n), np.full(toxicity.PAD, toxicity.BUCKETS)]) for n in (0, 1, 5, 30, 30)]
+    labels = np.array([0.0, 1, 1, 0, 1])
+
+    def loss():
+        p = 1 / (1 + np.exp(-(model.pooled(texts) @ model.out + model.base)))
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    of_base, of_weights, rows, move = model.gradients(texts, labels)
+    whole = np.zeros_like(model.table)
+    whole[rows] = move
+    checks = [(model.table, whole, (int(r), int(d))) for r in rows[:15] for d in (0, 5)]
+    for w, g in zip([*model.filters, *model.bias, model.out], of_weights, strict=True):
+        checks += [(w, g, np.unravel_index(i, w.shape)) for i in rng.integers(0, w.size, 8)]
+    for w, g, at in checks:
+        was = w[at]
+        w[at] = was + 1e-5
+        up = loss()
+        w[at] = was - 1e-5
+        slope, w[at] = (up - loss()) / 2e-5, was
+        assert abs(slope - g[at]) < 1e-5, (slope, g[at])
+    model.base += 1e-5
+    up = loss()
+    model.base -= 2e-5
+    assert abs((up - loss()) / 2e-5 - of_base) < 1e-5
+
+
+def test_toxicity_takes_one_text_of_an_id(spark):
+    """A third of the rows under one learning id: what is collected holds one text of it."""
+    docs, labels = toxic_table(spark, 200)
+    many = docs.unionByName(table(spark, [(1, f"text {i} of one id") for i in range(400)]))
+    model = toxicity.train(many, labels)
+    same = toxicity.train(docs.where("doc_id != 1").unionByName(table(spark, [(1, min([r.text for r in docs.where("doc_id = 1").collect()] + [f"text {i} of one id" for i in range(400)]))])), labels)
+    assert np.array_equal(model.table, same.table)
+
+
 # --- op3 -------------------------------------------------------------------------------------------------------------
 
 
@@ -242,9 +285,12 @@ def test_template_language():
 
 
 def test_chat_odd_rows(spark):
-    rows = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, None, "x"), (2, None, "user\nx", "")], "conv_id long, turn long, role string, text string")
-    out = {r.conv_id: r for r in chat_format.digests(chat_format.format_conversations(rows)).collect()}
-    assert out[1].n_turns == 3 and out[1].loss_chars == 2 and out[None].n_turns == 1
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, None, "x"), (None, 0, None, "x"), (None, 3, "assistant", "y"), (2, None, "user\nx", ""), (3, 0, "assistant", LONG)]
+    rows = spark.createDataFrame([(*r, "p", 1, "f") for r in rows], "conv_id long, turn long, role string, text string, spans string, start int, formatted string")
+    every = chat_format.digests(chat_format.format_conversations(rows)).collect()
+    out = {r.conv_id: r for r in every}
+    assert out[1].n_turns == 3 and out[1].loss_chars == 2 and out[3].loss_chars == len(LONG)
+    assert sorted((r.n_turns, r.loss_chars) for r in every if r.conv_id is None) == [(1, 0), (1, 0), (1, 1)]  # each alone
     assert out[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\nassistant\nb\n").hexdigest()
     assert out[2].turns_sha256 == hashlib.sha256(b"user\nx\n\n").hexdigest()
     assert not chat_format.digests(chat_format.format_conversations(rows.limit(0))).collect()
@@ -592,6 +638,25 @@ def test_warc_round_trip(spark):
     assert not warc.read_warc(spark, warc.write_warc(pages(spark, []), new_path(spark, "t"))).collect()
 
 
+def test_warc_gzip_and_clashing_names(spark, tmp_path):
+    """Gzip files, of many members too; extra columns are left out; repeated and null rows come back; a bad payload has no length."""
+    rows = [(i, f"http://{i}/", f"body {i // 2}" * 300) for i in range(40)] + [(None, None, None), (7, "http://7/", "body 3" * 300)]
+    frame = pages(spark, rows).selectExpr("*", "'a' as first", "1 as bytes", "'h' as hex", "'x' as id_", "'r' as revisit", "'d' as digest")
+    path = warc.write_warc(frame, f"{tmp_path}/zip", compression="gzip")
+    plain = warc.write_warc(frame, f"{tmp_path}/plain")
+    read = lambda p: sorted(map(repr, warc.read_warc(spark, p, verify=True).collect()))
+    assert len(read(path)) == 42 and read(path) == read(plain)
+    parts = sorted(f for f in (tmp_path / "plain").iterdir() if f.name.startswith("part") and f.stat().st_size)
+    many = tmp_path / "many.warc.gz"
+    many.write_bytes(b"".join(gzip.compress(x + b"\r\n\r\n") for f in parts for x in f.read_bytes().split(b"\r\n\r\n") if x))
+    assert len(read(str(many))) == 42
+    for f in parts:
+        f.write_bytes(f.read_bytes().replace(b"body 5body 5", b"body 6body 5"))
+    out = warc.resolve(*[warc.read_warc(spark, plain, payload=False, verify=True).where(F.col("record_type") == kind) for kind in ("response", "revisit")]).collect()
+    assert sorted(r.record_id for r in out if r.full_length is None) == ["<urn:page:10>", "<urn:page:11>"]
+    assert all(r.full_length == len(rows[int(r.record_id[10:-1])][2]) for r in out if r.full_length)
+
+
 def test_warc_pushes_filters(spark, tmp_path):
     path = warc.write_warc(pages(spark, [(i, f"http://{i}/", f"body {i // 2}") for i in range(10)]), new_path(spark, "t"))
     out = warc.read_warc(spark, path).where((F.col("record_type") == "revisit") & F.col("record_id").isin("<urn:page:0>", "<urn:page:1>"))
