@@ -44,15 +44,24 @@ def _sketch_wide(vectors: DataFrame, transform: Transform, shape: SketchShape, s
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
-        places = _mix(np.arange(1, shape.p2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        # Floyd's draw: step by step a hashed place among the first j + 1, or j itself if that one is taken. Where more than
+        # half of the places are kept, those to leave out are drawn.
+        few = min(shape.m, shape.p2 - shape.m)
+        steps = np.arange(shape.p2 - few, shape.p2)
+        salts = _mix(steps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         for batch in it:
             n = batch.num_rows
             if not n:
                 continue
             y = transform.forward(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, shape.p))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            keys = _mix(_mix(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))[:, None] ^ places[None])
-            idx = np.sort(np.argpartition(keys, shape.m - 1, axis=1)[:, : shape.m], axis=1)
+            keys, row = _mix(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), np.arange(n)
+            drawn = np.zeros((n, shape.p2), bool)
+            for j, salt in zip(steps.tolist(), salts, strict=True):
+                at = (_mix(keys ^ salt) % np.uint64(j + 1)).astype(np.int64)
+                at[drawn[row, at]] = j
+                drawn[row, at] = True
+            idx = np.nonzero(drawn if few == shape.m else ~drawn)[1].reshape(n, shape.m)
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * shape.m)
             cols = [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(idx.ravel().astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.take_along_axis(y, idx, axis=1).ravel()))]
             yield pa.RecordBatch.from_arrays([*cols, *[batch.column(2 + i) for i in range(len(carry))]], ["id", "idx", "val", *carry])
