@@ -1,14 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting (DataFrame operations only).
 
-Documents are counted into cells of source, language and topic. The cells' token weights are raked to each marginal in
-turn, by a grouped sum over the cells of each value, ROUNDS times over; then each cell's documents are kept with probability
-min(1, scale * weight / tokens), where the scale makes the expected tokens the budget. Only cells are raked, and a
-document's draw is a hash of its id, so nothing depends on how rows are dealt, and no row is moved for it.
+Documents are counted into cells of source, language and topic. The tokens asked of the cells, in the beginning a share
+of their own, are raked to each marginal in turn, by a grouped sum over the cells of each value, ROUNDS times over. No
+cell gives more tokens than it has: what full cells can't give is asked of the value's other cells, so a target is met
+wherever its value has the tokens. At the end one scale for all cells makes the expected tokens the budget, and each
+cell's documents are kept with probability min(1, asked / tokens). Only cells are raked, and a document's draw is a hash
+of its id, so nothing depends on how rows are dealt, and no row is moved for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchmeans.llm.common import WORD, checkpoint, text_of
@@ -22,8 +24,6 @@ MARGINALS: dict[str, dict[str, float] | float] = {
 }
 BUDGET = 0.6
 ROUNDS, SCALINGS = 8, 6
-#: Turns of `bounded` through all marginals.
-BOUNDED_ROUNDS = 8
 #: Cells up to this number are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_CELLS = 100_000
 
@@ -62,68 +62,55 @@ def _target(cells: DataFrame, dim: str, rule: dict[str, float] | float) -> DataF
     return by.select(dim, F.coalesce(listed / (sums[0] or 1.0) * (1 - rest), F.col("own") / total).alias("target"))
 
 
-def rake(cells: DataFrame, marginals: dict[str, dict[str, float] | float], rounds: int = ROUNDS) -> DataFrame:
-    """Cells with `weight`: shares of all tokens that meet the marginals as nearly as the cells present allow.
+def rake(cells: DataFrame, marginals: dict[str, dict[str, float] | float], budget: float, rounds: int = ROUNDS) -> DataFrame:
+    """Cells with `asked`: tokens whose lesser with the cell's own, added up by value, come to the targets of the budget.
 
-    A turn is a sum by value, combined before its shuffle, which all cells of the value then get; an empty table of cells
-    gives an empty one.
+    A turn is a sum by value, combined before its shuffle, which all cells of the value then get. Its factor is one step
+    of Newton's method for the sum of min(tokens, factor * asked), which is concave in the factor; it is never less than
+    the factor that would do if no cell were full. Of a value with fewer tokens than its target all cells are asked for
+    twice what they have, or more. An empty table of cells gives an empty one; cells without tokens are asked for none.
     """
     row = cells.agg(F.sum("tokens"), *[F.count_distinct(d) for d in marginals]).first()
+    need = F.lit(budget * float(row[0] or 0))
     few = {d: n <= BROADCAST_CELLS for d, n in zip(marginals, row[1:], strict=True)}
     small = lambda by, dim: F.broadcast(by) if few[dim] else by
     for dim, rule in marginals.items():
         cells = cells.join(small(_target(cells.select(dim, "tokens"), dim, rule).withColumnRenamed("target", f"target_{dim}"), dim), dim)
-    cells = checkpoint(cells.withColumn("weight", F.col("tokens") / F.lit(float(row[0] or 1))))
+    asked, full = F.col("asked"), F.col("asked") >= F.col("tokens")
+    cells = checkpoint(cells.withColumn("asked", F.col("tokens") * F.lit(float(budget))))
     for _ in range(rounds):
         for dim in marginals:
-            whole = cells.groupBy(dim).agg(F.sum("weight").alias("whole"))
-            weight = F.when(F.col("whole") > 0, F.col("weight") * F.col(f"target_{dim}") / F.col("whole")).otherwise(F.lit(0.0))
-            cells = checkpoint(cells.join(small(whole, dim), dim).withColumn("weight", weight).drop("whole"))
+            by = cells.groupBy(dim).agg(
+                (F.max(f"target_{dim}") * need).alias("target"),
+                F.sum("tokens").alias("own"),
+                F.sum("asked").alias("all"),
+                F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("taken"),
+                F.sum(F.when(~full, asked)).alias("open"),
+                F.max(F.try_divide(F.col("tokens"), asked)).alias("most"),
+            )
+            step = F.greatest(F.try_divide(F.col("target") - F.col("taken"), F.col("open")), F.try_divide(F.col("target"), F.col("all")), F.lit(0.0))
+            by = by.select(dim, F.when(F.col("target") >= F.col("own"), F.coalesce(F.col("most") * 2, F.lit(0.0))).otherwise(step).alias("factor"))
+            cells = checkpoint(cells.join(small(by, dim), dim).withColumn("asked", asked * F.col("factor")).drop("factor"))
     return cells
 
 
 def probabilities(cells: DataFrame, budget: float, scalings: int = SCALINGS) -> DataFrame:
-    """Cells with `prob`; the scale is refined as often as given, each time over the cells not yet at probability 1."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    scale, whole = 0.0, F.lit(False)
-    for _ in range(scalings):
-        taken, open_weight = cells.agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("weight")))).first()
-        scale = (budget * total - float(taken or 0)) / open_weight if open_weight else scale
-        whole = F.col("weight") * scale >= F.col("tokens")
-    return cells.withColumn("prob", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * scale / F.col("tokens"))).otherwise(F.lit(1.0)))
-
+    """Raked cells with `prob`, and `weight`, the cell's share of the kept tokens.
 
-def bounded(cells: DataFrame, budget: float, dims: tuple[str, ...] = DIMS, rounds: int = BOUNDED_ROUNDS) -> DataFrame:
-    """Raked cells with `weight` (a share of the kept tokens) and `prob`, no cell asked for more tokens than it has.
-
-    From the raked weights on, each value of a marginal in turn gets the factor at which its cells, none above the tokens
-    it has, come to its target (or are all whole, if the value has fewer tokens). The factor is found among the cells in
-    order of tokens / weight, so a turn is exact. Where a value can't reach its target, what is missing is shared out at
-    the end by one scale over all cells, so that the budget is met.
+    All cells are scaled alike until they give the budget, by as many steps of the same method. Cells without tokens have
+    probability 1, and so have all if the budget is all tokens.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    need = budget * total
-    cells = cells.withColumn("own", F.when(F.col("tokens") > 0, F.col("weight") * F.lit(need)).otherwise(F.lit(0.0)))
-
-    def fill(frame: DataFrame, by: list[str], target: Column) -> DataFrame:
-        # `own` may exceed the tokens: it is the weight before the bound, which a later turn starts from
-        ratio = F.when(F.col("own") > 0, F.col("tokens") / F.col("own")).otherwise(F.lit(float("inf")))
-        frame = frame.withColumn("ratio", ratio)
-        before = Window.partitionBy(*by).orderBy("ratio", *DIMS).rowsBetween(Window.unboundedPreceding, -1)
-        onward = Window.partitionBy(*by).orderBy("ratio", *DIMS).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        frame = frame.withColumn("factor", F.try_divide(target - F.coalesce(F.sum(F.when(F.col("ratio") < float("inf"), F.col("tokens")).otherwise(0)).over(before), F.lit(0)), F.sum("own").over(onward)))
-        # the first cell whose bound the factor doesn't reach has the factor of all; without one, all cells are whole
-        fits = F.when((F.col("own") > 0) & (F.col("factor") <= F.col("ratio")), F.struct("ratio", *DIMS, "factor"))
-        frame = frame.withColumn("factor", F.coalesce(F.min(fits).over(Window.partitionBy(*by))["factor"], F.max(F.when(F.col("own") > 0, F.col("ratio"))).over(Window.partitionBy(*by)), F.lit(1.0)))
-        return frame.withColumn("own", F.col("own") * F.greatest(F.col("factor"), F.lit(0.0))).drop("ratio", "factor")
-
-    cells = checkpoint(cells)
-    for _ in range(rounds):
-        for dim in dims:
-            cells = checkpoint(fill(cells, [dim], F.col(f"target_{dim}") * need))
-    cells = checkpoint(fill(cells.withColumn("all_", F.lit(0)), ["all_"], F.lit(need)).drop("all_"))
-    prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("own") / F.col("tokens"))).otherwise(F.lit(1.0))
-    return cells.withColumn("prob", prob).withColumn("weight", F.least(F.col("own"), F.col("tokens")) / F.lit(need or 1.0)).drop("own")
+    need, scale = budget * total, 1.0
+    for _ in range(scalings):
+        asked = F.col("asked") * scale
+        full = asked >= F.col("tokens")
+        taken, open_, whole = (float(x or 0) for x in cells.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, asked)), F.sum(asked)).first())
+        if whole:
+            scale *= max((need - taken) / open_ if open_ else 0.0, need / whole)
+    given = F.col("tokens") if budget >= 1 else F.least(F.col("asked") * scale, F.col("tokens"))
+    prob = F.when(F.col("tokens") > 0, given / F.col("tokens")).otherwise(F.lit(1.0))
+    return cells.withColumn("prob", prob).withColumn("weight", given / F.lit(need or 1.0))
 
 
 def draw(doc_id: Column, seed: str) -> Column:
@@ -132,21 +119,20 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, marginals: dict[str, dict[str, float] | float] = MARGINALS, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix", keep: tuple[str, ...] = (), bound: bool = False) -> DataFrame:
+def mix(docs: DataFrame, marginals: dict[str, dict[str, float] | float] = MARGINALS, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document with doc_id, source, lang, topic, n_tokens, weight (of its cell), prob, kept, and `keep`.
 
-    `budget` is the share of all tokens to keep in expectation; where the targets ask for more tokens of a cell than it
-    has, it is kept whole and the rest shared out anew: by one scale over all open cells, or, with `bound`, by raking that
-    heeds what cells have, so that values with tokens enough keep their targets. The SQL of op3 has the former. Null sources and languages are the empty string, null texts have
-    no tokens; documents of a cell without tokens are kept. Rows of one id are drawn alike; an empty table gives an
-    empty one; columns not in `keep` are left out.
+    `budget` is the share of all tokens to keep in expectation, `weight` the cell's share of these. Values with tokens
+    enough have their targets; what the others lack is shared out over all cells. Null sources and languages are the empty
+    string, null texts have no tokens; documents of a cell without tokens are kept. Rows of one id are drawn alike; an
+    empty table gives an empty one; columns not in `keep` are left out.
     """
     text = text_of("text")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     base = docs.select("doc_id", name("source"), name("lang"), text.alias("body"), n_words(text).alias("n_tokens"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     base = base.select("*", topic_of(F.col("body"), F.col("n_tokens")).alias("topic")).drop("body")
     cells = checkpoint(base.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    cells = checkpoint((bounded if bound else probabilities)(rake(cells, {d: marginals[d] for d in DIMS}, rounds), budget).select(*DIMS, "weight", "prob"))
+    cells = checkpoint(probabilities(rake(cells, {d: marginals[d] for d in DIMS}, budget, rounds), budget).select(*DIMS, "weight", "prob"))
     joined = base.join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, list(DIMS))
     return joined.select("doc_id", *DIMS, "n_tokens", "weight", "prob", (draw(F.col("doc_id"), seed) < F.col("prob")).alias("kept"), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
 
@@ -166,16 +152,20 @@ def _oracle() -> str:
         else:
             listed = "CASE " + " ".join(f"WHEN {dim} = '{v}' THEN {s}::DOUBLE" for v, s in rule.items()) + " END"
             parts.append(f"t_{dim} AS (SELECT {dim}, coalesce(l / (sum(l) OVER ()) * (1 - coalesce(sum(own) FILTER (WHERE l IS NULL) OVER (), 0) / sum(own) OVER ()), own / sum(own) OVER ()) AS target FROM (SELECT *, {listed} AS l FROM {by}))")
-    parts.append("k0 AS MATERIALIZED (SELECT c.*, t_source.target AS target_source, t_lang.target AS target_lang, t_topic.target AS target_topic, tokens / (SELECT sum(tokens) FROM c) AS weight FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
+    parts.append(f"k0 AS MATERIALIZED (SELECT c.*, t_source.target AS target_source, t_lang.target AS target_lang, t_topic.target AS target_topic, tokens * {BUDGET} AS asked, {BUDGET} * sum(tokens) OVER () AS need FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
+    step = "greatest((target - taken) / nullif(free, 0), target / nullif(whole, 0), 0)"
     n = 0
     for _ in range(ROUNDS):
         for dim in DIMS:
-            parts.append(f"k{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN w > 0 THEN weight * target_{dim} / w ELSE 0 END AS weight) EXCLUDE (w) FROM (SELECT *, sum(weight) OVER (PARTITION BY {dim}) AS w FROM k{n}))".replace("SELECT * REPLACE (", "SELECT * EXCLUDE (w) REPLACE (").replace(" EXCLUDE (w) FROM (SELECT *, sum", " FROM (SELECT *, sum"))
+            by = f"SELECT {dim}, max(target_{dim} * need) AS target, sum(tokens) AS own, sum(asked) AS whole, sum(CASE WHEN asked >= tokens THEN tokens ELSE 0 END) AS taken, sum(asked) FILTER (WHERE asked < tokens) AS free, max(tokens / nullif(asked, 0)) AS most FROM k{n} GROUP BY {dim}"
+            factor = f"SELECT {dim}, CASE WHEN target >= own THEN coalesce(most * 2, 0) ELSE {step} END AS factor FROM ({by})"
+            parts.append(f"k{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (factor) REPLACE (asked * factor AS asked) FROM k{n} JOIN ({factor}) USING ({dim}))")
             n += 1
-    parts.append(f"s0 AS (SELECT 0::DOUBLE AS scale, false AS begun)")
+    parts.append("s0 AS (SELECT 1::DOUBLE AS scale)")
     for i in range(SCALINGS):
-        parts.append(f"s{i + 1} AS MATERIALIZED (SELECT ({BUDGET} * sum(tokens) - coalesce(sum(tokens) FILTER (WHERE begun AND weight * scale >= tokens), 0)) / sum(weight) FILTER (WHERE NOT (begun AND weight * scale >= tokens)) AS scale, true AS begun FROM k{n}, s{i})")
-    parts.append(f"p AS (SELECT source, lang, topic, weight, CASE WHEN tokens > 0 THEN least(1.0, weight * scale / tokens) ELSE 1.0 END AS prob FROM k{n}, s{SCALINGS})")
+        by = f"SELECT any_value(scale) AS scale, any_value(need) AS target, coalesce(sum(tokens) FILTER (WHERE asked * scale >= tokens), 0) AS taken, sum(asked * scale) FILTER (WHERE asked * scale < tokens) AS free, sum(asked * scale) AS whole FROM k{n}, s{i}"
+        parts.append(f"s{i + 1} AS MATERIALIZED (SELECT CASE WHEN whole > 0 THEN scale * {step} ELSE scale END AS scale FROM ({by}))")
+    parts.append(f"p AS (SELECT source, lang, topic, least(asked * scale, tokens) / CASE WHEN need > 0 THEN need ELSE 1 END AS weight, CASE WHEN tokens > 0 THEN least(asked * scale, tokens) / tokens ELSE 1.0 END AS prob FROM k{n}, s{SCALINGS})")
     return f"WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS weight, round(prob, 9) AS prob, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < prob AS kept FROM d JOIN p USING (source, lang, topic)"
 
 

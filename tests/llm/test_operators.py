@@ -190,9 +190,9 @@ def test_toxicity_takes_one_text_of_an_id(spark):
 
 def test_mixing_meets_marginals(spark):
     cells = spark.createDataFrame([(s, lang, t, int(1000 * (1 + i))) for i, (s, lang, t) in enumerate((s, lang, t) for s in "ab" for lang in ("en", "de") for t in ("prose", "short"))], "source string, lang string, topic string, tokens long")
-    out = mixing.rake(cells, {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 0.9, "short": 0.1}}, 30).toPandas()
+    out = mixing.rake(cells, {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 0.9, "short": 0.1}}, 0.1, 30).toPandas()
     for dim, shares in (("source", {"a": 0.7, "b": 0.3}), ("lang", {"en": 0.5, "de": 0.5}), ("topic", {"prose": 0.9, "short": 0.1})):
-        got = out.groupby(dim).weight.sum()
+        got = out.groupby(dim).asked.sum() / out.asked.sum()
         assert all(abs(got[k] - v) < 1e-6 for k, v in shares.items())
     p = mixing.probabilities(spark.createDataFrame(out), 0.5).toPandas()
     assert abs((p.prob * p.tokens).sum() - 0.5 * p.tokens.sum()) < 1 and (p.prob <= 1).all()
@@ -204,20 +204,18 @@ def test_mixing_meets_marginals(spark):
 def test_bounded_mixing_keeps_feasible_marginals(spark):
     """'short' can't reach its target; the other marginals, which can be met, are met by expected kept tokens."""
     cells = spark.createDataFrame([("a", "en", "prose", 500), ("a", "de", "prose", 300), ("b", "en", "prose", 400), ("b", "de", "prose", 300), ("a", "en", "short", 4), ("b", "de", "short", 2), ("b", "en", "short", 0)], "source string, lang string, topic string, tokens long")
-    raked = mixing.rake(cells, {"source": {"a": 0.3, "b": 0.7}, "lang": {"en": 0.7, "de": 0.3}, "topic": {"prose": 0.8, "short": 0.2}})
     budget = 0.5
-    p = mixing.bounded(raked, budget).toPandas()
+    raked = mixing.rake(cells, {"source": {"a": 0.3, "b": 0.7}, "lang": {"en": 0.7, "de": 0.3}, "topic": {"prose": 0.8, "short": 0.2}}, budget)
+    p = mixing.probabilities(raked, budget).toPandas()
     p["kept"] = p.tokens * p.prob
     assert ((p.prob >= 0) & (p.prob <= 1)).all() and abs(p.kept.sum() - budget * 1506) < 1e-6
     assert (p[p.topic == "short"].prob > 0.999).all()
     for dim, want in (("source", {"a": 0.3, "b": 0.7}), ("lang", {"en": 0.7, "de": 0.3})):
         got = p.groupby(dim).kept.sum() / p.kept.sum()
         assert all(abs(got[v] - w) < 0.01 for v, w in want.items()), got
-    old = mixing.probabilities(raked, budget).toPandas()
-    old["kept"] = old.tokens * old.prob
-    assert abs(old.groupby("lang").kept.sum() / old.kept.sum() - p.groupby("lang").kept.sum() / p.kept.sum()).max() > 0.01
-    empty = mixing.bounded(raked.limit(0), budget)
-    assert not empty.collect()
+    whole = mixing.probabilities(raked, 1.0).toPandas()
+    assert (whole.prob == 1).all() and abs(whole.weight.sum() - 1) < 1e-9
+    assert not mixing.probabilities(raked.limit(0), budget).collect()
 
 
 def brute_base(text):

@@ -87,7 +87,7 @@ def topic(text, n):
 
 
 def brute_mixing(spark, rows, folder):
-    """Raking in plain loops; factors within what cells have by bisection. (row, topic, words, probability) of the drawn."""
+    """Raking in plain loops. (row, topic, words, probability) of the drawn."""
     dims = mixing.DIMS
     made = []
     for r in rows:
@@ -110,36 +110,28 @@ def brute_mixing(spark, rows, folder):
             listed = sum(s for v, s in rule.items() if own.get(v))
             rest = sum(n for v, n in own.items() if v not in rule) / total
             targets[d] = {v: rule[v] / listed * (1 - rest) if v in rule else n / total for v, n in own.items()}
-    weight = {c: n / total for c, n in cells.items()}
-    for _ in range(mixing.ROUNDS):
-        for k, d in enumerate(dims):
-            whole = collections.Counter()
-            for c, w in weight.items():
-                whole[c[k]] += w
-            weight = {c: w * targets[d][c[k]] / whole[c[k]] if whole[c[k]] > 0 else 0.0 for c, w in weight.items()}
     need = mixing.BUDGET * total
-    own = {c: w * need if cells[c] else 0.0 for c, w in weight.items()}
-
-    def fill(group, target):
-        group = [c for c in group if own[c] > 0]
-        if not group:
-            return
-        most = max(cells[c] / own[c] for c in group)
-        low_, high = 0.0, most
-        for _ in range(200):
-            mid = (low_ + high) / 2
-            if sum(min(own[c] * mid, cells[c]) for c in group) < target:
-                low_ = mid
-            else:
-                high = mid
-        for c in group:
-            own[c] *= high
-
-    for _ in range(mixing.BOUNDED_ROUNDS):
+    own = {c: n * mixing.BUDGET for c, n in cells.items()}
+
+    def step(group, target):
+        """One step of Newton's method from factor 1."""
+        free = sum(own[c] for c in group if own[c] < cells[c])
+        taken = sum(cells[c] for c in group if own[c] >= cells[c])
+        whole = sum(own[c] for c in group)
+        return max((target - taken) / free if free else 0.0, target / whole if whole else 0.0, 0.0)
+
+    for _ in range(mixing.ROUNDS):
         for k, d in enumerate(dims):
             for v, share in targets[d].items():
-                fill([c for c in cells if c[k] == v], share * need)
-    fill(list(cells), need)
+                group = [c for c in cells if c[k] == v]
+                if share * need >= sum(cells[c] for c in group):
+                    f = 2 * max((cells[c] / own[c] for c in group if own[c]), default=0.0)
+                else:
+                    f = step(group, share * need)
+                own.update({c: own[c] * f for c in group})
+    for _ in range(mixing.SCALINGS):
+        f = step(list(cells), need)
+        own = {c: x * f for c, x in own.items()}
     out = []
     for r in made:
         c = tuple(r[d] for d in dims)
