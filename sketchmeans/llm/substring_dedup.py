@@ -33,8 +33,6 @@ SMALL = 1024
 PLACES_AT_ONCE = 20_000
 #: Bytes of a word's hash in a context.
 WORD_BYTES = 6
-#: Rows of (key, spans) up to this many list entries are broadcast, some 40 MB; more are joined by a shuffle.
-BROADCAST_ENTRIES = 2_000_000
 
 
 def _sliding(a: np.ndarray, n: int, pick) -> np.ndarray:
@@ -148,13 +146,9 @@ def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
-def _join_spans(docs: DataFrame, spans: DataFrame, entries: int, how: str) -> DataFrame:
-    """Each document with its spans, without moving texts if the spans are few."""
-    return docs.join(F.broadcast(spans) if entries <= BROADCAST_ENTRIES else spans, ["id", "key"], how)
-
-
-def _entries(frame: DataFrame, column: str) -> int:
-    return frame.agg(F.sum(F.size(column) + 2)).first()[0] or 0
+def _by_document(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Documents with what is found of each, by a shuffle whatever the size: what is found grows with the documents."""
+    return docs.join(found.hint("shuffle_merge"), ["id", "key"], how)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
@@ -178,8 +172,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
     seeded = materialize(docs.mapInArrow(seeds, "id long, key long, whole_a long, whole_b long, places array<int>, anchors array<long>"), "anchors")
     wholes = seeded.groupBy("whole_a", "whole_b").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last")).drop("last")
     copies = checkpoint(join_counted(seeded.select("id", "key", "whole_a", "whole_b"), materialize(wholes, "copies"), ["whole_a", "whole_b"]).where(F.col("id") > F.col("first")).select("id", "key").distinct())
-    n_copies = copies.count()
-    firsts = seeded.join(F.broadcast(copies) if n_copies <= BROADCAST_ENTRIES // 4 else copies, ["id", "key"], "left_anti")
+    firsts = _by_document(seeded, copies, "left_anti")
     placed = firsts.select("id", "key", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("id", "key", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
     shared = placed.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where(F.col("low") != F.col("high")).select("anchor", "n")
     grown = checkpoint(join_counted(placed, materialize(shared, "shared-anchors"), ["anchor"]).groupBy("id", "key").agg(F.collect_set("place").alias("places")))
@@ -212,7 +205,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
 
     NAMES = ["node_a", "node_b", "id", "key", "place", "low", "high", "around"]
     schema = "node_a long, node_b long, id long, key long, place int, low int, high int, around binary"
-    rows = materialize(_join_spans(docs, grown, _entries(grown, "places"), "inner").select("id", "key", "text", "places").mapInArrow(around, schema), "contexts")
+    rows = materialize(_by_document(docs, grown, "inner").select("id", "key", "text", "places").mapInArrow(around, schema), "contexts")
     node = ["node_a", "node_b"]
 
     def columns(batch) -> list[np.ndarray]:
@@ -325,7 +318,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows.append((i, b" ".join(kept).decode(), len(words), len(words) - len(kept), at))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["id", "text", "n_words", "n_removed", "spans"])
 
-    out = _join_spans(base, every, _entries(every, "spans"), "left").select("id", "text", "spans").mapInArrow(cut, "id long, text string, n_words long, n_removed long, spans array<int>")
+    out = _by_document(base, every, "left").select("id", "text", "spans").mapInArrow(cut, "id long, text string, n_words long, n_removed long, spans array<int>")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "n_removed", "spans")
 
 
