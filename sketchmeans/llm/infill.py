@@ -85,12 +85,12 @@ def _column(data: np.ndarray, offsets: np.ndarray):
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
 
 
-def _slices(batch, column: int) -> Iterator:
-    """Parts of a batch with some BYTES_AT_ONCE of text each."""
+def _slices(batch, column: int, most: int) -> Iterator:
+    """Parts of a batch with some `most` bytes of text each."""
     _, offsets = _strings(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BYTES_AT_ONCE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 
@@ -116,7 +116,7 @@ def infill(
         import pyarrow.compute as pc
 
         for batch in it:
-            for part in _slices(batch, 1) if batch.num_rows else ():
+            for part in _slices(batch, 1, BYTES_AT_ONCE) if batch.num_rows else ():
                 text = part.column(1)
                 data, offsets = _strings(text)
                 h = [part.column(2 + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
@@ -156,7 +156,7 @@ def restore(out: DataFrame, marks: tuple[str, str, str] = MARKS, text_col: str =
         import pyarrow.compute as pc
 
         for batch in it:
-            for part in _slices(batch.set_column(0, "output", pc.fill_null(batch.column(0), "")), 0) if batch.num_rows else ():
+            for part in _slices(batch.set_column(0, "output", pc.fill_null(batch.column(0), "")), 0, BYTES_AT_ONCE) if batch.num_rows else ():
                 text = part.column(0)
                 data, offsets = _strings(text)
                 code = pc.fill_null(pc.index_in(part.column(1), pa.array(FORMS)), -1).to_numpy(zero_copy_only=False)

@@ -1,6 +1,6 @@
 """The queries by name, and DuckDB SQL for those that SQL can express."""
 
-from sketchmeans.llm import chat_format, decontaminate, importance, infill, language_model, line_dedup, minhash, mixing, quality, substring_dedup, toxicity, warc
+from sketchmeans.llm import chat_format, decontaminate, importance, infill, language_model, line_dedup, minhash, mixing, quality, substring_dedup, suffix_array, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_warc": warc.op10_warc,
     "op11_importance": importance.op11_importance,
+    "op12_suffix_dedup": suffix_array.op12_suffix_dedup,
     "op13_infill": infill.op13_infill,
 }
 ORACLE_SQL = {
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_warc": warc.ORACLE,
     "op11_importance": importance.ORACLE,
+    "op12_suffix_dedup": suffix_array.ORACLE,
     "op13_infill": infill.ORACLE,
 }
