@@ -74,7 +74,7 @@ def cluster(source: str | DataFrame, k: int, spark: SparkSession | None = None,
         metric = Metric(shape.p, None, True, params.min_overlap)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     at = time.time()
-    seeds = [_seed(data, k, params, metric, transform, rep) for rep in range(params.replicates)]
+    seeds = _seeds(data, k, params, metric, transform)
     time_init = time.time() - at
     at = time.time()
     centers, of_assignment, info = lloyd(data, seeds, metric, params)
@@ -99,24 +99,37 @@ def cluster(source: str | DataFrame, k: int, spark: SparkSession | None = None,
     return result
 
 
-def _seed(data: DataFrame, k: int, params: Params, metric: Metric, transform: Transform | None, rep: int) -> Centers:
-    if isinstance(params.init, DataFrame):
-        rows = params.init.orderBy("k", "j").collect() if "j" in params.init.columns else None
-        given = np.array([r["c"] for r in params.init.orderBy("k").collect()], float) if rows is None else np.array([r["c"] for r in rows], float).reshape(len({r["k"] for r in rows}), -1)
-        seeds = Centers.full(transform.forward(given) if transform else given)
-    elif not isinstance(params.init, str):
-        given = np.asarray(params.init, float)
-        given = given.T if params.samples == "columns" else given
-        seeds = Centers.full(transform.forward(given) if transform else given)
+def _seeds(data: DataFrame, k: int, params: Params, metric: Metric, transform: Transform | None) -> list[Centers]:
+    """The first centers of every replicate."""
+    reps = list(range(params.replicates))
+    if not isinstance(params.init, str):
+        given = _given(params)
+        seeds = [Centers.full(transform.forward(given) if transform else given) for _ in reps]
     elif params.init == "sample":
-        seeds = I.rows_as_centers([r.asDict() for r in I.init_sample(data, k, params.seed, rep, params.hashing).collect()], metric.p2)
+        seeds = [I.rows_as_centers([r.asDict() for r in I.init_sample(data, k, params.seed, rep, params.hashing).collect()], metric.p2) for rep in reps]
     elif params.init == "uniform":
-        seeds = I.init_uniform(data, k, metric.p2, params.seed, rep, params.hashing)
+        seeds = [I.init_uniform(data, k, metric.p2, params.seed, rep, params.hashing) for rep in reps]
     else:
         own = metric if params.unbiased_init else Metric(metric.p2, metric.gamma, False, metric.min_overlap)
-        seeds = I.init_kmeanspp(data, k, own, params.seed, rep, params.hashing)[1]
-    if len(seeds) != k or seeds.c.shape[1] != metric.p2:
-        raise ValueError(f"centers of shape {seeds.c.shape}, not {(k, metric.p2)}")
-    if params.dense_centers:
-        seeds.support[:] = True
+        if params.init == "kmeans||":
+            found = I.seed_parallel(data, k, own, params.seed, reps, params.hashing, params.init_rounds, params.oversampling)
+        else:
+            found = I.seed_kmeanspp(data, k, own, params.seed, reps, params.hashing)
+        seeds = [centers for _, centers in found]
+    for own in seeds:
+        if len(own) != k or own.c.shape[1] != metric.p2:
+            raise ValueError(f"centers of shape {own.c.shape}, not {(k, metric.p2)}")
+        if params.dense_centers:
+            own.support[:] = True
     return seeds
+
+
+def _given(params: Params) -> np.ndarray:
+    """Centers given as a frame (k, c array) or (k, j, c), or as a matrix."""
+    if not isinstance(params.init, DataFrame):
+        given = np.asarray(params.init, float)
+        return given.T if params.samples == "columns" else given
+    if "j" not in params.init.columns:
+        return np.array([r["c"] for r in params.init.orderBy("k").collect()], float)
+    rows = params.init.orderBy("k", "j").collect()
+    return np.array([r["c"] for r in rows], float).reshape(len({r["k"] for r in rows}), -1)

@@ -69,21 +69,90 @@ def blocks(batch, names: list[str], sketched: bool):
     return a, b, real
 
 
+#: Bytes of the matrices that one block of rows makes.
+BLOCK_BYTES = 32 << 20
+#: A sketch that keeps one of so many places or more is compared by matrix products, a thinner one place by place.
+THIN = 24
+
+
 def squared(idx, x, real, centers: Centers, metric: Metric) -> np.ndarray:
     """(rows, K) squared distances; pairs with too little overlap are infinitely far."""
     if idx is None:
         d2 = (x * x).sum(axis=1)[:, None] - 2 * x @ centers.c.T + (centers.c * centers.c).sum(axis=1)[None]
         return np.maximum(d2, 0)
-    out = np.empty((len(x), len(centers)))
-    for k, (c, s, f) in enumerate(zip(centers.c, centers.support, metric.scales(centers), strict=True)):
-        part = np.square(x * metric.scale_v - c[idx])
-        both = s[idx] if real is None else s[idx] & real
-        out[:, k] = np.where(both, part, 0).sum(axis=1) * f
+    by = _by_products if x.shape[1] * THIN >= metric.p2 else _by_places
+    support = None if centers.support.all() else centers.support
+    own = centers.c if support is None else np.where(support, centers.c, 0)
+    out, step = np.empty((len(x), len(own))), max(1, BLOCK_BYTES // (8 * (4 * metric.p2 + 2 * len(own))))
+    y = x * metric.scale_v
+    for a in range(0, len(x), step):
+        rows = slice(a, a + step)
+        d2, both = by(idx[rows], y[rows], None if real is None else real[rows], own, support, bool(metric.min_overlap))
+        d2 *= metric.scales(centers)
         if metric.min_overlap:
-            out[both.sum(axis=1) < metric.min_overlap, k] = np.inf
+            d2[both < metric.min_overlap] = np.inf
+        out[rows] = d2
     return out
 
 
+def _by_products(idx, y, real, c: np.ndarray, support, overlap: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sums of (y - c)^2 over the places that row and center both have, as products of scattered rows with the centers.
+
+    The expanded square loses digits where a row lies next to a center; such pairs are summed up directly.
+    """
+    n, p2 = len(y), c.shape[1]
+    row = np.broadcast_to(np.arange(n)[:, None], idx.shape)
+    at = (row, idx) if real is None else (row[real], idx[real])
+    mask, full = np.zeros((n, p2)), np.zeros((n, p2))
+    mask[at], full[at] = 1.0, y if real is None else y[real]
+    first = (full * full).sum(axis=1)[:, None] if support is None else (full * full) @ support.T.astype(float)
+    last = mask @ (c * c).T
+    d2 = first - 2 * (full @ c.T) + last
+    i, k = np.nonzero(d2 <= 1e-6 * (first + last))
+    for a in range(0, len(i), 4096):
+        r, q = i[a : a + 4096], k[a : a + 4096]
+        part = np.square(y[r] - c[q[:, None], idx[r]])
+        if support is not None:
+            part *= support[q[:, None], idx[r]]
+        if real is not None:
+            part *= real[r]
+        d2[r, q] = part.sum(axis=1)
+    both = None if not overlap else np.broadcast_to(mask.sum(axis=1)[:, None], d2.shape) if support is None else mask @ support.T.astype(float)
+    return d2, both
+
+
+def _by_places(idx, y, real, c: np.ndarray, support, overlap: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The same, adding up place by place: each brings a whole row of the transposed centers."""
+    table = np.ascontiguousarray(c.T)
+    kept = None if support is None else np.ascontiguousarray(support.T.astype(float))
+    d2 = np.zeros((len(y), len(c)))
+    both = np.zeros(d2.shape) if overlap else None
+    for t in range(idx.shape[1]):
+        part = y[:, t, None] - table[idx[:, t]]
+        part *= part
+        use = None if kept is None else kept[idx[:, t]]
+        if real is not None:
+            use = real[:, t, None] * (np.ones(len(c)) if use is None else use)
+        if use is not None:
+            part *= use
+        d2 += part
+        if overlap:
+            both += 1.0 if use is None else use
+    return d2, both
+
+
+def nearest(idx, x, real, centers: Centers, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the nearest center, from 0, the smallest on ties, and its squared distance; rows go block by block."""
+    best, least = np.empty(len(x), np.int64), np.empty(len(x))
+    step = max(1, BLOCK_BYTES // (8 * max(1, len(centers))))
+    for a in range(0, len(x), step):
+        rows = slice(a, a + step)
+        d2 = squared(None if idx is None else idx[rows], x[rows], None if real is None else real[rows], centers, metric)
+        best[rows] = d2.argmin(axis=1)
+        least[rows] = d2[np.arange(len(d2)), best[rows]]
+    return best, least
+
+
 def _sketched(data: DataFrame) -> bool:
     return "idx" in data.columns
 
@@ -98,9 +167,8 @@ def assign(data: DataFrame, centers: Centers, metric: Metric, carry: bool = Fals
 
         for batch in it:
             if batch.num_rows:
-                d2 = squared(*blocks(batch, names, sketched), shared.value, metric)
-                k = d2.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((k + 1).astype(np.int32)), pa.array(np.sqrt(d2[np.arange(len(k)), k])), *(batch.columns[1:] if carry else [])], ["id", "k", "dist", *(names[1:] if carry else [])])
+                k, d2 = nearest(*blocks(batch, names, sketched), shared.value, metric)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((k + 1).astype(np.int32)), pa.array(np.sqrt(d2)), *(batch.columns[1:] if carry else [])], ["id", "k", "dist", *(names[1:] if carry else [])])
 
     kept = ", idx array<int>, val array<double>" if sketched else ", x array<double>"
     out = data.select(*names).mapInArrow(run, "id long, k int, dist double" + (kept if carry else ""))
@@ -160,9 +228,7 @@ def iterate(data: DataFrame, states: dict[int, Centers], metric: Metric) -> dict
                 continue
             idx, x, real = blocks(batch, names, sketched)
             for rep, centers in shared.value.items():
-                d2 = squared(idx, x, real, centers, metric)
-                best = d2.argmin(axis=1)
-                least = d2[np.arange(len(best)), best]
+                best, least = nearest(idx, x, real, centers, metric)
                 for k in np.unique(best):
                     own = best == k
                     if idx is None:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-INITS = {"sample": "sample", "uniform": "uniform", "arthur": "kmeans++", "++": "kmeans++", "kmeans++": "kmeans++", "k-means++": "kmeans++", "k-means-++": "kmeans++"}
+INITS = {"sample": "sample", "uniform": "uniform", "arthur": "kmeans++", "++": "kmeans++", "kmeans++": "kmeans++", "k-means++": "kmeans++", "k-means-++": "kmeans++", "kmeans||": "kmeans||", "k-means||": "kmeans||", "parallel": "kmeans||"}
 SKETCHES = {"auto": "auto", "hadamard": "hadamard", "dct": "dct", "none": "none", "nothing": "none"}
 
 
@@ -38,6 +38,8 @@ class Params:
     missing: str = "explicit"
     hashing: str = "xxhash64"
     seed: int = 0
+    init_rounds: int = 3  # of k-means||, each of which draws some oversampling * k rows
+    oversampling: float = 2.0
     try_builtin_mex: bool = True  # accepted for compatibility, without effect
 
     def __post_init__(self) -> None:
@@ -60,6 +62,8 @@ class Params:
             raise ValueError("sparsity must be in (0, 1]")
         if self.replicates < 1 or self.max_iter < 1 or self.tol < 0 or self.partition_mb <= 0:
             raise ValueError("replicates, max_iter and partition_mb must be positive, tol not negative")
+        if self.init_rounds < 1 or self.oversampling <= 0:
+            raise ValueError("init_rounds and oversampling must be positive")
 
 
 @dataclass(frozen=True)

@@ -394,14 +394,17 @@ def init_uniform(spark, d):
     return centers_frame(spark, I.init_uniform(vectors(spark, d), K, P, SEED, 0, "md5").c)
 
 
-def _kmeanspp_sql() -> str:
-    u = lambda t: f"(({H(f"'{SEED}|pp|0|{t}|' || id")}) + 0.5) / 4294967296.0"
-    parts = [VEC, "e AS (SELECT DISTINCT id FROM v)", f"s0 AS (SELECT id, 0 AS t FROM e ORDER BY {u(0)}, id LIMIT 1)"]
-    for t in range(1, 4):
+def _u(purpose: str, t: int) -> str:
+    return f"(({H(f"'{SEED}|{purpose}|0|{t}|' || id")}) + 0.5) / 4294967296.0"
+
+
+def _kmeanspp_sql(k: int = 4) -> str:
+    parts = [VEC, "e AS (SELECT DISTINCT id FROM v)", f"s0 AS (SELECT id, 0 AS t FROM e ORDER BY {_u('pp', 0)}, id LIMIT 1)"]
+    for t in range(1, k):
         parts.append(f"d{t} AS (SELECT a.id, b.id AS s, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM v a JOIN v b USING (j) WHERE b.id IN (SELECT id FROM s{t - 1}) GROUP BY a.id, b.id)")
         parts.append(f"m{t} AS (SELECT id, min(d2) AS d2 FROM d{t} WHERE id NOT IN (SELECT id FROM s{t - 1}) GROUP BY id)")
-        parts.append(f"s{t} AS (SELECT * FROM s{t - 1} UNION ALL SELECT * FROM (SELECT id, {t} FROM m{t} ORDER BY -ln({u(t)}) / d2, id LIMIT 1))")
-    return f"WITH {', '.join(parts)} SELECT t::INTEGER AS round, id FROM s3"
+        parts.append(f"s{t} AS (SELECT * FROM s{t - 1} UNION ALL SELECT * FROM (SELECT id, {t} FROM m{t} ORDER BY -ln({_u('pp', t)}) / d2, id LIMIT 1))")
+    return f"WITH {', '.join(parts)} SELECT t::INTEGER AS round, id FROM s{k - 1}"
 
 
 @query(_kmeanspp_sql())
@@ -410,6 +413,29 @@ def init_kmeanspp(spark, d):
     return spark.createDataFrame(list(enumerate(ids)), "round int, id long")
 
 
+def _parallel_sql(k: int, rounds: int) -> str:
+    """Candidates n0, n1, ... of k-means||, their weights, and weighted draws from them."""
+    near = "SELECT a.id, min(d2) AS d2 FROM (SELECT a.id, b.id AS s, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM v a JOIN v b USING (j) WHERE b.id IN (SELECT id FROM {0}) GROUP BY a.id, b.id) a GROUP BY a.id"
+    parts = [VEC, "e AS (SELECT DISTINCT id FROM v)", f"n0 AS (SELECT id, 0 AS turn FROM e ORDER BY {_u('pp', 0)}, id LIMIT 1)"]
+    for r in range(rounds):
+        parts.append(f"g{r} AS ({near.format(f'n{r}')})")
+        parts.append(f"n{r + 1} AS (SELECT * FROM n{r} UNION ALL SELECT id, {r + 1} FROM g{r} WHERE {_u('parallel', r)} < d2 * {2.0 * k} / (SELECT sum(d2) FROM g{r}))")
+    parts.append(f"o AS (SELECT id AS s, row_number() OVER (ORDER BY turn, id) AS o FROM n{rounds})")
+    parts.append("y AS (SELECT a.id, o.o, o.s, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM v a JOIN v b USING (j) JOIN o ON o.s = b.id GROUP BY a.id, o.o, o.s)")
+    parts.append("z AS (SELECT s AS id, count(*) AS n FROM (SELECT id, s FROM y QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, o) = 1) GROUP BY s)")
+    parts.append(f"s0 AS (SELECT id, 0 AS t FROM z ORDER BY -ln({_u('reduce', 0)}) / n, id LIMIT 1)")
+    for t in range(1, k):
+        parts.append(f"m{t} AS (SELECT id, min(d2) AS d2 FROM y WHERE s IN (SELECT id FROM s{t - 1}) AND id NOT IN (SELECT id FROM s{t - 1}) GROUP BY id)")
+        parts.append(f"s{t} AS (SELECT * FROM s{t - 1} UNION ALL SELECT * FROM (SELECT id, {t} FROM m{t} JOIN z USING (id) ORDER BY -ln({_u('reduce', t)}) / (n * d2), id LIMIT 1))")
+    return f"WITH {', '.join(parts)} SELECT t::INTEGER AS round, id FROM s{k - 1}"
+
+
+@query(_parallel_sql(6, 2))
+def init_kmeans_parallel(spark, d):
+    [(ids, _)] = I.seed_parallel(vectors(spark, d), 6, C.Metric(P), SEED, [0], "md5", rounds=2)
+    return spark.createDataFrame(list(enumerate(ids)), "round int, id long")
+
+
 # --- iterations ------------------------------------------------------------------------------------------------------
 
 
@@ -523,11 +549,11 @@ def sumd_two_pass(spark, d):
 # --- whole runs ------------------------------------------------------------------------------------------------------
 
 
-def _seeded_sql(steps: int) -> str:
-    """Four seeds as init_kmeanspp draws them, then iterations."""
-    seeds = _kmeanspp_sql().removeprefix(f"WITH {VEC}, ").removesuffix(" SELECT t::INTEGER AS round, id FROM s3")
-    seeds = re.sub(r"\bd([0-9])\b", r"e\1", seeds)
-    return lloyd_sql(steps, f"{VEC}, {seeds}, c0 AS (SELECT (t + 1)::INTEGER AS k, j, x AS c FROM v JOIN s3 USING (id))")
+def _seeded_sql(steps: int, k: int = 4) -> str:
+    """k seeds as init_kmeanspp draws them, then iterations."""
+    seeds = _kmeanspp_sql(k).removeprefix(f"WITH {VEC}, ").removesuffix(f" SELECT t::INTEGER AS round, id FROM s{k - 1}")
+    seeds = re.sub(r"\bd([0-9]+)\b", r"e\1", seeds)
+    return lloyd_sql(steps, f"{VEC}, {seeds}, c0 AS (SELECT (t + 1)::INTEGER AS k, j, x AS c FROM v JOIN s{k - 1} USING (id))")
 
 
 @query(f"WITH {_seeded_sql(3)} SELECT id, k, round(sqrt(d2), 6) + 0.0 AS dist FROM a2")
@@ -537,6 +563,13 @@ def cluster_dense(spark, d):
     return result.assignments.select("id", "k", r6(F.col("dist"), "dist"))
 
 
+@query(f"WITH {_seeded_sql(10, 10)} SELECT id, k, round(sqrt(d2), 6) + 0.0 AS dist FROM a9")
+def cluster_dense_10(spark, d):
+    """Ten clusters, ten iterations, from ten seeds of K-means++."""
+    result = cluster(vectors(spark, d), 10, max_iter=10, tol=0.0, seed=SEED, hashing="md5")
+    return result.assignments.select("id", "k", r6(F.col("dist"), "dist"))
+
+
 def _cluster_sketched_sql() -> str:
     """Mix, sample, seed from sketched rows, two iterations over what rows and centers have, un-mix, assign again."""
     mixed = WALSH.format("f", " / 8").replace("round(", "(").replace(", 6) + 0.0", ")")
@@ -556,3 +589,10 @@ def cluster_sketched(spark, d):
     """Sketch, seed, iterate and un-mix, as a user would; assignments of the second pass."""
     result = cluster(vectors(spark, d), K, sparsify=True, sparsity=M / P, init="sample", max_iter=2, tol=0.0, seed=SEED, hashing="md5")
     return result.two_pass_assignments.select("id", "k", r6(F.col("dist"), "dist"))
+
+
+@query()
+def cluster_sketched_10(spark, d):
+    """The same on a sketch, two replicates from ten seeds of K-means++ each, ten iterations; assignments of the second pass."""
+    result = cluster(vectors(spark, d), 10, sparsify=True, sparsity=M / P, replicates=2, max_iter=10, tol=0.0, seed=SEED)
+    return result.two_pass_assignments.select("id", "k", r6(F.col("dist"), "dist"))

@@ -1,12 +1,15 @@
 """The public call and its options, on small made-up vectors."""
 
 import logging
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sketchmeans.api import cluster
 from sketchmeans.functions import transforms as T
+from sketchmeans.functions.hashing import uniform, uniform_of
 from sketchmeans.operators import centers as C
 from sketchmeans.operators import init as I
 from sketchmeans.operators import sketch as S
@@ -209,3 +212,144 @@ def test_stream(spark, tmp_path):
         got = spark.read.parquet(str(tmp_path / "out"))
         want = S.sketch(spark.read.parquet(str(tmp_path / "in")), t, shape, 1)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 300 + extra
+
+
+def kmeanspp_by_hand(x, k, seed, rep):
+    ids, out, near = np.arange(len(x)), [], None
+    for t in range(k):
+        u = uniform_of("xxhash64", ids, seed, "pp", rep, t)
+        race = np.zeros(len(x)) if near is None else I._key(u, near)
+        race[out] = np.nan
+        out.append(int(np.lexsort((ids, u, race))[0]))
+        d2 = ((x - x[out[-1]]) ** 2).sum(axis=1)
+        near = d2 if near is None else np.minimum(near, d2)
+    return out
+
+
+@pytest.mark.parametrize("hashing", ["md5", "xxhash64"])
+def test_hashes_in_numpy_are_those_of_the_columns(spark, hashing):
+    ids = spark.range(50).select((F.col("id") * 7919 - 77).alias("id"))
+    column = uniform(hashing, F.lit(5), F.lit("pp"), F.lit(2), F.lit(17), F.col("id"))
+    rows = ids.select("id", column.alias("u")).collect()
+    assert [r.u for r in rows] == uniform_of(hashing, np.array([r.id for r in rows]), 5, "pp", 2, 17).tolist()
+
+
+@pytest.fixture
+def five_hundred(spark):
+    x = np.random.default_rng(0).standard_normal((500, 64))
+    x[490:] = x[0]  # some rows are alike
+    frame = prepare(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(4).persist()
+    frame.count()
+    yield frame, x
+    frame.unpersist()
+
+
+@pytest.mark.parametrize("k,jobs", [(1, 1), (20, 5), (100, 8), (300, 10)])
+def test_kmeanspp_in_few_jobs_is_that_of_one_round_a_job(five_hundred, monkeypatch, k, jobs):
+    """All replicates in the same jobs, whose number hardly grows with k; every job has the same plan."""
+    frame, x = five_hundred
+    plans, races = [], I._races
+
+    def counted(*a):
+        out = races(*a)
+        plans.append(len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return out
+
+    monkeypatch.setattr(I, "_races", counted)
+    began = time.time()
+    found = I.seed_kmeanspp(frame, k, C.Metric(64), 7, [0, 1])
+    assert [ids for ids, _ in found] == [kmeanspp_by_hand(x, k, 7, rep) for rep in (0, 1)]
+    assert len(plans) <= jobs and len(set(plans)) == 1 and time.time() - began < 60
+    assert all(np.array_equal(c.c, x[ids]) for ids, c in found)
+
+
+def test_kmeanspp_where_leaders_do_not_decide(five_hundred, monkeypatch):
+    """One leader a partition and far groups: rounds that could be won by others are played again."""
+    monkeypatch.setattr(I, "LEADERS", 1)
+    frame, x = five_hundred
+    assert I.seed_kmeanspp(frame, 12, C.Metric(64), 3, [0])[0][0] == kmeanspp_by_hand(x, 12, 3, 0)
+
+
+def test_more_seeds_than_unlike_rows(five_hundred):
+    """Rows on a seed are drawn last, by their hashes; no row twice; more seeds than rows are an error."""
+    frame, x = five_hundred
+    few = frame.where("id >= 485")  # six unlike rows, ten more like each other
+    ids, _ = I.init_kmeanspp(few, 15, C.Metric(64), 1)
+    assert sorted(ids) == list(range(485, 500)) and len({tuple(x[i]) for i in ids[:6]}) == 6
+    for seeds in (I.seed_kmeanspp, I.seed_parallel):
+        with pytest.raises(ValueError):
+            seeds(few, 16, C.Metric(64), 1, [0])
+        with pytest.raises(ValueError):
+            seeds(frame.where("id < 0"), 1, C.Metric(64), 1, [0])
+
+
+def test_kmeans_parallel_jobs_and_quality(spark, five_hundred, monkeypatch):
+    frame, x = five_hundred
+    jobs = []
+    for name in ("_races", "_costs", "_drawn", "_weights"):
+        f = getattr(I, name)
+        monkeypatch.setattr(I, name, lambda *a, f=f: (jobs.append(f.__name__), f(*a))[1])
+    cost = lambda ids: ((x[:, None] - x[ids][None]) ** 2).sum(axis=2).min(axis=1).sum()
+    for k in (8, 60):
+        jobs.clear()
+        found = I.seed_parallel(frame, k, C.Metric(64), 5, [0, 1])
+        assert len(jobs) == 8 and all(len(set(ids)) == k for ids, _ in found) and found[0][0] != found[1][0]
+        uniform_cost = np.mean([cost(np.random.default_rng(r).choice(500, k, replace=False)) for r in range(5)])
+        assert all(cost(ids) < 1.05 * uniform_cost for ids, _ in found)
+    apart, _ = blobs(spark, n=600, p=16, k=30)
+    result = cluster(apart, 30, init="kmeans||", max_iter=20)
+    assert same_groups(result.assignments, 30)
+    with pytest.raises(ValueError):
+        I.seed_parallel(frame, 1 << 22, C.Metric(1024), 1, [0])
+
+
+def old_squared(idx, x, real, centers, metric):
+    """Center by center and row by row."""
+    out = np.empty((len(x), len(centers)))
+    for k, (c, s, f) in enumerate(zip(centers.c, centers.support, metric.scales(centers), strict=True)):
+        for i in range(len(x)):
+            use = s[idx[i]] if real is None else s[idx[i]] & real[i]
+            out[i, k] = (np.square(x[i] * metric.scale_v - c[idx[i]]) * use).sum() * f if use.sum() >= metric.min_overlap else np.inf
+    return out
+
+
+@pytest.mark.parametrize("thin", [0, 1000])
+@pytest.mark.parametrize("padded", [False, True])
+@pytest.mark.parametrize("metric", [C.Metric(40), C.Metric(40, 0.25), C.Metric(40, 0.25, False), C.Metric(40, 0.25, True, 3)])
+@pytest.mark.parametrize("dense", [False, True])
+def test_masked_distances(monkeypatch, thin, padded, metric, dense):
+    """By products and place by place, over dense and masked centers, rows of unequal lengths, and rows on a center."""
+    monkeypatch.setattr(C, "THIN", thin)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 8 * 200 * 7)
+    rng = np.random.default_rng(4)
+    idx = np.sort(np.argsort(rng.random((30, 40)), axis=1)[:, :10], axis=1)
+    x = rng.standard_normal((30, 10)) * 1000
+    real = rng.random((30, 10)) < 0.8 if padded else None
+    if padded:
+        idx, x = np.where(real, idx, 0), np.where(real, x, 0)
+    support = np.ones((9, 40), bool) if dense else rng.random((9, 40)) < 0.5
+    centers = C.Centers(np.where(support, rng.standard_normal((9, 40)) * 1000, 0), support)
+    centers.c[3, idx[5]] = x[5] * metric.scale_v
+    got, want = C.squared(idx, x, real, centers, metric), old_squared(idx, x, real, centers, metric)
+    assert np.array_equal(np.isinf(got), np.isinf(want))
+    fine = np.isfinite(want)
+    assert np.allclose(got[fine], want[fine], rtol=1e-9, atol=1e-9)
+    best, least = C.nearest(idx, x, real, centers, metric)
+    assert np.allclose(least[np.isfinite(least)], want.min(axis=1)[np.isfinite(least)], rtol=1e-9, atol=1e-9)
+
+
+def test_masked_distances_are_fast():
+    """1000 centers of 1024 places, a sketch of 64: against the loop over centers it replaced."""
+    rng = np.random.default_rng(2)
+    idx = np.sort(np.argsort(rng.random((500, 1024)), axis=1)[:, :64], axis=1)
+    x, support = rng.standard_normal((500, 64)), rng.random((1000, 1024)) < 0.9
+    centers = C.Centers(np.where(support, rng.standard_normal((1000, 1024)), 0), support)
+    metric = C.Metric(1024, 1 / 16)
+    C.squared(idx, x, None, centers, metric)
+    began = time.time()
+    got = C.squared(idx, x, None, centers, metric)
+    new, began = time.time() - began, time.time()
+    want = np.empty_like(got)
+    for k, (c, s, f) in enumerate(zip(centers.c, support, metric.scales(centers), strict=True)):
+        want[:, k] = np.where(s[idx], np.square(x - c[idx]), 0).sum(axis=1) * f
+    assert np.allclose(got, want) and new * 3 < time.time() - began
