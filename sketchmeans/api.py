@@ -18,6 +18,7 @@ from sketchmeans.operators import twopass
 from sketchmeans.operators.centers import Centers, Metric, assign, sumd
 from sketchmeans.operators.lloyd import lloyd
 from sketchmeans.operators.sketch import from_zeros, sketch
+from sketchmeans.plans.clock import Clock
 from sketchmeans.plans.params import Params, RunInfo, choose_sketch, sketch_shape
 from sketchmeans.session import prepare
 from sketchmeans.sources import vectors as V
@@ -28,18 +29,39 @@ log = logging.getLogger("sketchmeans")
 
 @dataclass
 class Result:
-    """Frames are lazy: the second pass runs only if its frames are used."""
+    """Frames are lazy: the second pass runs only if its frames are used, and then goes over the raw vectors once for all of them."""
 
     centers: np.ndarray
     assignments: DataFrame
     sumd: DataFrame
     info: RunInfo
     sketched: DataFrame | None = None
-    two_pass_centers: DataFrame | None = None
-    two_pass_assignments: DataFrame | None = None
-    two_pass_sumd: DataFrame | None = None
+    #: (centers, assignments, sumd) of the second pass; None where it is the first.
+    second: tuple[DataFrame, DataFrame, DataFrame] | None = None
     persisted: list = field(default_factory=list)
 
+    def _second(self, which: int, first: DataFrame) -> DataFrame:
+        if self.second is None:
+            warnings.warn("nothing was sampled: the second pass is the first", stacklevel=3)
+            return first
+        return self.second[which]
+
+    @property
+    def two_pass_centers(self) -> DataFrame:
+        """(k, j, c): without a sketch the centers themselves."""
+        if self.second is not None:
+            return self.second[0]
+        rows = [(k + 1, j, float(v)) for k, c in enumerate(self.centers) for j, v in enumerate(c)]
+        return self._second(0, self.assignments.sparkSession.createDataFrame(rows, "k int, j int, c double"))
+
+    @property
+    def two_pass_assignments(self) -> DataFrame:
+        return self._second(1, self.assignments)
+
+    @property
+    def two_pass_sumd(self) -> DataFrame:
+        return self._second(2, self.sumd)
+
     def unpersist(self) -> None:
         for df in self.persisted:
             df.unpersist()
@@ -55,31 +77,44 @@ def cluster(source: str | DataFrame, k: int, spark: SparkSession | None = None,
     spark = prepare(spark or (source.sparkSession if isinstance(source, DataFrame) else SparkSession.getActiveSession()))
     if k < 1:
         raise ValueError("k must be 1 or more")
-    raw = V.scan_vectors(V.read(spark, source, partition_mb=None if isinstance(source, DataFrame) else params.partition_mb), id_col, x_col, params.samples)
-    shape = V.checked_shape(raw, k)
+    raw = V.scan_vectors(V.read(spark, source, partition_mb=params.partition_mb, samples=params.samples), id_col, x_col, params.samples)
+    p = V.first_length(raw)
+    watched = V.Watched(raw, p)
     time_shape = time.time() - began
-    log.info("%d vectors of %d entries in %d partitions", shape.n, shape.p, raw.rdd.getNumPartitions())
-    transform, metric, data = None, Metric(shape.p), raw
+    transform, metric, data, clock = None, Metric(p), watched.frame, Clock(spark)
     kind: object = "none"
     if params.sparsify:
-        kind = choose_sketch(params.sketch, shape.p) if isinstance(params.sketch, str) else params.sketch
-        transform = Transform(kind, shape.p, params.seed, params.signs)
-        size = sketch_shape(shape.p, params.sparsity, kind if isinstance(kind, str) else "own", params.ignore_upsampling)
+        kind = choose_sketch(params.sketch, p) if isinstance(params.sketch, str) else params.sketch
+        transform = Transform(kind, p, params.seed, params.signs)
+        size = sketch_shape(p, params.sparsity, kind if isinstance(kind, str) else "own", params.ignore_upsampling)
         if not isinstance(kind, str):
-            size = type(size)(shape.p, transform.p2, min(transform.p2, size.m))
-        data = sketch(raw, transform, size, params.seed, params.hashing)
+            size = type(size)(p, transform.p2, min(transform.p2, size.m))
+        data = sketch(watched.frame, transform, size, params.seed, params.hashing, clock=clock)
         metric = Metric(size.p2, size.gamma, params.unbiased_distance, params.min_overlap)
     elif params.missing == "zeros":
-        data = from_zeros(raw)
-        metric = Metric(shape.p, None, True, params.min_overlap)
+        data = from_zeros(watched.frame)
+        metric = Metric(p, None, True, params.min_overlap)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     at = time.time()
+    # One pass reads, checks, sketches and keeps the vectors.
+    data.count()
+    try:
+        shape = watched.shape(k)
+    except ValueError:
+        data.unpersist()
+        raise
+    time_sketch = time.time() - at
+    parts = data.rdd.getNumPartitions()
+    log.info("%d vectors of %d entries in %d partitions", shape.n, shape.p, parts)
+    if parts > 500 and shape.n <= parts:
+        log.warning("%d partitions of a vector or less, this may be slow: is partition_mb right?", parts)
+    at = time.time()
     seeds = _seeds(data, k, params, metric, transform)
     time_init = time.time() - at
     at = time.time()
     centers, of_assignment, info = lloyd(data, seeds, metric, params)
     info.time_iterations = time.time() - at
-    info.time_shape, info.time_init = time_shape, time_init
+    info.time_shape, info.time_read_and_sketch, info.time_init, info.clock = time_shape, time_sketch, time_init, clock
     info.sketch, info.sparsify = str(kind) if isinstance(kind, str) else "own", params.sparsify
     info.options = {n: v for n, v in vars(params).items() if n not in ("init", "sketch")}
     assigned = assign(data, of_assignment, metric)
@@ -88,13 +123,10 @@ def cluster(source: str | DataFrame, k: int, spark: SparkSession | None = None,
         unmixed = twopass.unmix_centers(centers, transform)
         result.centers = unmixed.c
         again = sketch(raw, transform, size, params.seed, params.hashing, carry=("x",))
-        result.two_pass_centers = twopass.two_pass_centers(again, of_assignment, metric)
-        result.two_pass_assignments = twopass.two_pass_assign(raw, unmixed)
-        result.two_pass_sumd = sumd(result.two_pass_assignments, len(unmixed))
-    else:
-        # Without a sketch the second pass is the first.
-        result.two_pass_centers = twopass.two_pass_centers(from_zeros(raw, carry=("x",)) if params.missing == "zeros" else raw, of_assignment, metric)
-        result.two_pass_assignments, result.two_pass_sumd = assigned, result.sumd
+        both = twopass.second_pass(again, of_assignment, metric, unmixed, clock).persist(StorageLevel.MEMORY_AND_DISK)
+        result.persisted.append(both)
+        nearest = twopass.assignments(both)
+        result.second = twopass.means(both, parts), nearest, sumd(nearest, len(unmixed))
     info.time_overall = time.time() - began
     return result
 

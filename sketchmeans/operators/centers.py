@@ -216,8 +216,34 @@ def merge_partials(partial: DataFrame, parts: int) -> DataFrame:
     return partial.repartition("rep", "k").mapInArrow(_again, PARTIAL)
 
 
-def iterate(data: DataFrame, states: dict[int, Centers], metric: Metric) -> dict[tuple[int, int], list]:
-    """For each replicate and cluster: [n, sum of d2, sums, counts by coordinate], k from 0, in one pass over the data."""
+#: Bytes of centers that are sent to the tasks at once; more replicates than that go in several passes.
+CENTERS_BYTES = 1 << 30
+
+
+def together(states: dict[int, Centers], metric: Metric) -> list[dict[int, Centers]]:
+    """The replicates in groups whose centers are CENTERS_BYTES at most; ValueError if those of one alone are more."""
+    out: list[dict[int, Centers]] = []
+    room = 0
+    for rep, centers in states.items():
+        size = 9 * len(centers) * metric.p2
+        if size > CENTERS_BYTES:
+            raise ValueError(f"{len(centers)} centers of {metric.p2} entries are more than {CENTERS_BYTES} bytes")
+        if not out or size > room:
+            out.append({})
+            room = CENTERS_BYTES
+        out[-1][rep] = centers
+        room -= size
+    return out
+
+
+def iterate(data: DataFrame, states: dict[int, Centers], metric: Metric, parts: int | None = None) -> dict[tuple[int, int], list]:
+    """For each replicate and cluster: [n, sum of d2, sums, counts by coordinate], k from 0, in one pass over the data.
+
+    `parts` is the number of its partitions, where that is known.
+    """
+    groups = together(states, metric)
+    if len(groups) > 1:
+        return {key: v for own in groups for key, v in iterate(data, own, metric, parts).items()}
     shared, sketched = data.sparkSession.sparkContext.broadcast(states), _sketched(data)
     names, p2 = (["id", "idx", "val"] if sketched else ["id", "x"]), metric.p2
 
@@ -243,7 +269,7 @@ def iterate(data: DataFrame, states: dict[int, Centers], metric: Metric) -> dict
             yield packed(merged)
 
     partial = data.select(*names).mapInArrow(run, PARTIAL)
-    parts = data.rdd.getNumPartitions()
+    parts = parts or data.rdd.getNumPartitions()
     if parts * sum(map(len, states.values())) * p2 * 16 > DIRECT_BYTES:
         partial = merge_partials(partial, parts)
     return _merge([tuple(r) for r in partial.collect()])

@@ -48,9 +48,10 @@ def lloyd(data: DataFrame, seeds: list[Centers], metric: Metric, params: Params)
     sketched, info = "idx" in data.columns, RunInfo()
     n = len(seeds)
     states, before = dict(enumerate(seeds)), dict(enumerate(seeds))
+    parts = data.rdd.getNumPartitions()
     objective, diff, count = [np.inf] * n, [np.inf] * n, [0] * n
     for step in range(1, params.max_iter + 1):
-        merged = iterate(data, states, metric)
+        merged = iterate(data, states, metric, parts)
         for rep in list(states):
             old = states[rep]
             new, empty = updated(old, merged, rep, sketched, params.ml_correction, metric.gamma)
@@ -77,7 +78,7 @@ def lloyd(data: DataFrame, seeds: list[Centers], metric: Metric, params: Params)
     final, used = seeds[info.best], before[info.best]
     if len(final) != len(used):
         used = final
-        objective[info.best] = float(np.sqrt(sum(v[1] for v in iterate(data, {0: final}, metric).values())))
+        objective[info.best] = float(np.sqrt(sum(v[1] for v in iterate(data, {0: final}, metric, parts).values())))
     info.iterations, info.stopping_diff, info.objectives = count, diff, objective
     if params.verbose != "off":
         log.info("best of %d replicates: objective %g", n, objective[info.best])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sketchmeans.functions.hashing import bits32
 from sketchmeans.functions.transforms import Transform
+from sketchmeans.plans.clock import Clock
 from sketchmeans.plans.params import SketchShape
 
 #: Widths up to this are sampled by column functions; wider vectors by numpy over Arrow batches.
@@ -25,10 +26,10 @@ def sample_indices(id_col: Column, p2: int, m: int, seed: int, hashing: str = "m
     return F.array_sort(F.transform(F.slice(ranked, 1, m), lambda s: s["j"]))
 
 
-def sketch(vectors: DataFrame, transform: Transform, shape: SketchShape, seed: int = 0, hashing: str = "xxhash64", carry: tuple[str, ...] = ()) -> DataFrame:
+def sketch(vectors: DataFrame, transform: Transform, shape: SketchShape, seed: int = 0, hashing: str = "xxhash64", carry: tuple[str, ...] = (), clock: Clock | None = None) -> DataFrame:
     """(id, idx, val): the mixed vectors' sampled coordinates, unscaled, with their places; and the columns `carry`."""
     if hashing == "xxhash64" and shape.p2 > WIDE:
-        return _sketch_wide(vectors, transform, shape, seed, carry)
+        return _sketch_wide(vectors, transform, shape, seed, carry, clock or Clock())
     mixed = vectors.select("id", transform.column(F.col("x")).alias("y"), *carry)
     placed = mixed.select("id", "y", sample_indices(F.col("id"), shape.p2, shape.m, seed, hashing).alias("idx"), *carry)
     return placed.select("id", "idx", F.transform("idx", lambda j: F.get(F.col("y"), j)).alias("val"), *carry)
@@ -40,7 +41,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _sketch_wide(vectors: DataFrame, transform: Transform, shape: SketchShape, seed: int, carry: tuple[str, ...]) -> DataFrame:
+def _sketch_wide(vectors: DataFrame, transform: Transform, shape: SketchShape, seed: int, carry: tuple[str, ...], clock: Clock) -> DataFrame:
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -49,19 +50,25 @@ def _sketch_wide(vectors: DataFrame, transform: Transform, shape: SketchShape, s
         few = min(shape.m, shape.p2 - shape.m)
         steps = np.arange(shape.p2 - few, shape.p2)
         salts = _mix(steps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        for batch in it:
-            n = batch.num_rows
-            if not n:
-                continue
-            y = transform.forward(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, shape.p))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+        def draw(column, n: int) -> np.ndarray:
+            ids = column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             keys, row = _mix(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), np.arange(n)
             drawn = np.zeros((n, shape.p2), bool)
             for j, salt in zip(steps.tolist(), salts, strict=True):
                 at = (_mix(keys ^ salt) % np.uint64(j + 1)).astype(np.int64)
                 at[drawn[row, at]] = j
                 drawn[row, at] = True
-            idx = np.nonzero(drawn if few == shape.m else ~drawn)[1].reshape(n, shape.m)
+            return np.nonzero(drawn if few == shape.m else ~drawn)[1].reshape(n, shape.m)
+
+        for batch in clock.reading(it, "read"):
+            n = batch.num_rows
+            if not n:
+                continue
+            with clock.of("mix"):
+                y = transform.forward(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, shape.p))
+            with clock.of("sample"):
+                idx = draw(batch.column(0), n)
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * shape.m)
             cols = [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(idx.ravel().astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.take_along_axis(y, idx, axis=1).ravel()))]
             yield pa.RecordBatch.from_arrays([*cols, *[batch.column(2 + i) for i in range(len(carry))]], ["id", "idx", "val", *carry])

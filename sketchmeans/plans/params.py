@@ -8,6 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from sketchmeans.plans.clock import PARTS, Clock
+
 INITS = {"sample": "sample", "uniform": "uniform", "arthur": "kmeans++", "++": "kmeans++", "kmeans++": "kmeans++", "k-means++": "kmeans++", "k-means-++": "kmeans++", "kmeans||": "kmeans||", "k-means||": "kmeans||", "parallel": "kmeans||"}
 SKETCHES = {"auto": "auto", "hadamard": "hadamard", "dct": "dct", "none": "none", "nothing": "none"}
 
@@ -112,7 +114,20 @@ class RunInfo:
     objectives: list[float] = field(default_factory=list)
     trace: list[tuple[int, int, float, float]] = field(default_factory=list)
     best: int = 0
+    #: Seconds by the clock: the first vector's length; the pass that reads, mixes, samples, checks and keeps the vectors; seeding;
+    #: iterations; all of the call but the second pass, which runs only if its frames are used.
     time_shape: float = 0.0
+    time_read_and_sketch: float = 0.0
     time_init: float = 0.0
     time_iterations: float = 0.0
     time_overall: float = 0.0
+    clock: Clock = field(default_factory=Clock, repr=False)
+
+    @property
+    def task_times(self) -> dict[str, float]:
+        """Seconds that all tasks together have spent so far: read, mix and sample of the sketching pass, and the second pass's.
+
+        Vectors of at most 256 entries are mixed and sampled in one step of generated code, of which no parts are timed, so
+        there the three are 0 (a cosine transform or one's own is part of it, too).
+        """
+        return {part: self.clock.seconds(part) for part in PARTS}

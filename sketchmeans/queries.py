@@ -20,7 +20,9 @@ from sketchmeans.operators import sketch as S
 from sketchmeans.operators import twopass
 from sketchmeans.operators.lloyd import lloyd, shift
 from sketchmeans.plans.params import Params, SketchShape, sketch_shape
+from sketchmeans.session import scratch
 from sketchmeans.sources import vectors as V
+from sketchmeans.sources.matrix import matrix_file_shape, read_matrix, write_matrix
 
 SEED, K, M, P, CUT = 7, 5, 16, 64, 48
 PLAIN = SketchShape(P, P, M)
@@ -114,6 +116,33 @@ def chunk_plan(spark, d):
     return V.matrix_shape(vectors(spark, d)).select(*V.chunk_plan(F.col("n"), F.col("p_max"), 0.0625))
 
 
+@query(f"WITH {VEC} SELECT id, j, round(x, 6) + 0.0 AS v FROM v")
+def coordinate_rows(spark, d):
+    """Rows of one coordinate each, in pieces of 100 samples, turned into vectors."""
+    cells = vectors(spark, d).select(F.posexplode("x").alias("j", "v"), F.floor(F.col("id") / 100).alias("piece"), "id")
+    rows = cells.groupBy("j", "piece").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("cells"))
+    return long(V.scan_vectors(rows.select("j", F.col("cells")[0]["id"].alias("first"), F.col("cells.v").alias("x")), samples="columns"))
+
+
+NUMBERED = f"{VEC}, n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS id FROM embeddings)"
+
+
+@query(f"WITH {NUMBERED} SELECT n.id, j, round(x, 6) + 0.0 AS v FROM v JOIN n ON n.vec_id = v.id")
+def matrix_files(spark, d):
+    """Vectors written as matrix files and read back in slices of 0.05 MB, numbered in the order of their ids."""
+    path = scratch(spark, "matrix")
+    write_matrix(vectors(spark, d), path, 0.1)
+    return long(read_matrix(spark, path, partition_mb=0.05))
+
+
+@query("SELECT count(*) AS n, any_value(len(embedding)) AS p FROM embeddings")
+def matrix_header(spark, d):
+    """Number and length of the vectors of matrix files, from their headers."""
+    path = scratch(spark, "matrix")
+    write_matrix(vectors(spark, d), path, 0.1)
+    return spark.createDataFrame([matrix_file_shape(path)], "n long, p long")
+
+
 @query(f"WITH {VEC} SELECT round(min(x), 6) + 0.0 AS least, round(max(x), 6) + 0.0 AS most FROM v")
 def value_range(spark, d):
     return S.value_range(vectors(spark, d), "x").select(r6(F.col("least"), "least"), r6(F.col("most"), "most"))

@@ -353,3 +353,74 @@ def test_masked_distances_are_fast():
     for k, (c, s, f) in enumerate(zip(centers.c, support, metric.scales(centers), strict=True)):
         want[:, k] = np.where(s[idx], np.square(x - c[idx]), 0).sum(axis=1) * f
     assert np.allclose(got, want) and new * 3 < time.time() - began
+
+
+def test_one_scan_for_shape_and_sketch_and_one_for_the_second_pass(spark):
+    """The first vector apart, raw vectors are read once before the second pass and once in it, whatever is asked of it."""
+    data, _ = blobs(spark, n=400, p=16)
+    data = data.persist()
+    data.count()
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for batch in it:
+            seen.add(batch.num_rows)
+            yield batch
+
+    result = cluster(data.mapInArrow(counted, data.schema), 3, sparsify=True, sparsity=0.5, replicates=2, seed=3, max_iter=5)
+    before = seen.value
+    assert 400 <= before <= 500  # the probe for the length may read a partition
+    assert result.two_pass_assignments.count() == 400 and len(result.two_pass_centers.collect()) == 48
+    assert sum(r.n for r in result.two_pass_sumd.collect()) == 400
+    assert seen.value - before == 400
+    times = result.info.task_times
+    assert times["second_read"] > 0 and times["second_centers"] > 0 and times["second_assignments"] > 0
+    assert result.info.time_read_and_sketch > 0 and result.info.time_init > 0 and result.info.time_iterations > 0
+    result.unpersist()
+    data.unpersist()
+
+
+def test_times_of_wide_vectors(spark):
+    data, _ = blobs(spark, n=200, p=512)
+    times = cluster(data, 3, sparsify=True, sparsity=0.1, max_iter=3).info.task_times
+    assert times["read"] > 0 and times["mix"] > 0 and times["sample"] > 0 and times["second_read"] == 0
+
+
+def test_second_pass_of_dense_runs_is_the_first(spark):
+    data, _ = blobs(spark)
+    result = cluster(data, 3, seed=3)
+    with pytest.warns(UserWarning, match="second pass is the first"):
+        assert result.two_pass_assignments is result.assignments
+    with pytest.warns(UserWarning, match="second pass is the first"):
+        assert result.two_pass_sumd is result.sumd
+    with pytest.warns(UserWarning, match="second pass is the first"):
+        rows = result.two_pass_centers.collect()
+    assert np.array_equal(np.array([r.c for r in sorted(rows, key=lambda r: (r.k, r.j))]).reshape(3, 16), result.centers)
+
+
+@pytest.mark.parametrize("p", [16, 300])
+@pytest.mark.parametrize("sparsify", [False, True])
+def test_bad_vectors_are_refused_by_the_pass_that_meets_them(spark, p, sparsify):
+    good = [(i, [float(i + j) for j in range(p)]) for i in range(20)]
+    for bad, message in (((99, [1.0]), "1 to"), ((99, None), "null"), ((99, [float("nan")] * p), "NaN"), ((99, [None] * p), "null")):
+        data = prepare(spark).createDataFrame([*good, bad], "id long, x array<double>").repartition(3)
+        with pytest.raises(ValueError, match=message):
+            cluster(data, 2, sparsify=sparsify, sparsity=0.5)
+    data = spark.createDataFrame(good, "id long, x array<double>")
+    with pytest.raises(ValueError, match="20 vectors"):
+        cluster(data, 21, sparsify=sparsify)
+    with pytest.raises(ValueError, match="no vectors"):
+        cluster(data.where("id < 0"), 2, sparsify=sparsify)
+
+
+def test_replicates_beyond_the_bytes_of_centers_go_in_several_passes(spark, monkeypatch):
+    data, _ = blobs(spark)
+    states = {r: C.Centers.full(np.random.default_rng(r).standard_normal((3, 16))) for r in range(5)}
+    whole = C.iterate(data, states, C.Metric(16))
+    monkeypatch.setattr(C, "CENTERS_BYTES", 9 * 3 * 16 * 2)
+    assert [list(g) for g in C.together(states, C.Metric(16))] == [[0, 1], [2, 3], [4]]
+    again = C.iterate(data, states, C.Metric(16))
+    assert whole.keys() == again.keys() and all(np.allclose(whole[k][2], again[k][2]) for k in whole)
+    monkeypatch.setattr(C, "CENTERS_BYTES", 100)
+    with pytest.raises(ValueError):
+        C.iterate(data, states, C.Metric(16))
