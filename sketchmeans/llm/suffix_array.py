@@ -22,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sketchmeans.llm import common
 from sketchmeans.llm.common import batches, join_counted, materialize, mix64, text_of, windows64
 from sketchmeans.llm.substring_dedup import _sliding as sliding
 
 LENGTH, ANCHOR = 200, 48
 #: Groups of at most so many contexts have their suffix array in one task (a context has under 2 * LENGTH bytes).
-SMALL = 4096
+SMALL = 1024
 #: Bytes of text in which anchors are looked for at a time, at most 2^24; longer texts go piece by piece.
 PIECE = 1 << 21
 #: Bytes of contexts of whole groups that are sorted at a time.
@@ -373,16 +374,27 @@ class Levels:
         if not 0 < anchor <= length:
             raise ValueError("an anchor is 1 byte long or more, and no longer than a repeat")
         self.length = length
-        every = materialize(_contexts(docs, length, anchor), "contexts")
-        shared = every.groupBy("node_a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        grown = materialize(join_counted(every, materialize(shared, "shared-anchors"), ["node_a"]), "shared-contexts")
         one = F.min(F.struct("id", "key", "at", "back", "windows")).alias("one")
-        kinds = materialize(grown.groupBy(*NODE, "ctx").agg(F.count(F.lit(1)).alias("n"), one), "kinds")
-        several = kinds.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        ones = join_counted(kinds.select(*NODE, "ctx", "one.*", F.col("n").alias("times")), materialize(several, "groups"), NODE)
+        every = materialize(_contexts(docs, length, anchor), "contexts")
+        shared = materialize(every.groupBy("node_a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "shared-anchors")
+        hot = shared.where(F.col("n") * common.HOT_KEYS >= every.count()).select("node_a")  # at most HOT_KEYS keys, as n adds up to all rows
+        # Contexts of other anchors are dealt by anchor once, at every size; kinds are counted where they lie.
+        kind = Window.partitionBy("node_a", "ctx")
+        cold = every.join(F.broadcast(hot), "node_a", "left_anti").join(shared.select("node_a").hint("shuffle_merge"), "node_a", "left_semi")
+        cold = cold.select(*COLUMNS, F.row_number().over(kind.orderBy("id", "key", "at")).alias("place"), F.count(F.lit(1)).over(kind).alias("times"))
+        cold = materialize(cold.withColumn("kinds", F.sum((F.col("place") == 1).cast("long")).over(Window.partitionBy("node_a"))), "shared-contexts")
+        # Those of hot anchors are counted first and joined apart.
+        warm = materialize(every.join(F.broadcast(hot), "node_a").select(*COLUMNS), "hot-contexts")
+        warm_kinds = materialize(warm.groupBy(*NODE, "ctx").agg(F.count(F.lit(1)).alias("n"), one), "hot-kinds")
+        several = warm_kinds.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        ones = cold.where((F.col("place") == 1) & (F.col("kinds") > 1)).select(*COLUMNS, "times")
+        ones = ones.unionByName(join_counted(warm_kinds.select(*NODE, "ctx", "one.*", F.col("n").alias("times")), several, NODE))
         rows = materialize(_with_bytes(docs, ones, length), "context-bytes")
+        kinds = cold.where(F.col("place") == 1).select(*NODE, "ctx", F.col("times").alias("n"), F.struct("id", "key", "at", "back", "windows").alias("one"))
         #: For each level: all contexts, one of each kind with their number, the kinds that one task can sort, and the large groups.
-        self.all, self.kinds, self.small, self.large = [grown], [kinds], [], []
+        self.all, self.kinds, self.small, self.large = [cold.select(*COLUMNS).unionByName(warm)], [kinds.unionByName(warm_kinds)], [], []
+        #: Contexts that occur again as a whole, of which nothing is looked for any more.
+        self.again = [cold.where(F.col("times") > 1).select(*COLUMNS), _with_kind(warm, warm_kinds)]
         width = 1 << max(0, (length - anchor).bit_length() - 2)
         while True:
             large = materialize(rows.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select(*NODE, F.lit(True).alias("large"), "n"), "large-groups")
@@ -393,6 +405,7 @@ class Levels:
             self.large.append(large)
             parts = materialize(_split(join_counted(rows, large, NODE), width, length, anchor), "blocks")
             kinds = materialize(parts.groupBy(*NODE, "ctx").agg(F.sum("times").alias("n"), one, F.first("bytes").alias("bytes")), "kinds-of-blocks")
+            self.again.append(_with_kind(parts.drop("bytes"), kinds))
             self.all.append(parts.drop("bytes"))
             self.kinds.append(kinds)
             if width == 1:
@@ -403,7 +416,7 @@ class Levels:
     def spans(self) -> DataFrame:
         """(id, key, spans): repeated bytes as (start << 32 | end), some of them overlapping."""
         span = (F.shiftleft(F.col("at").cast("long"), 32) + F.col("at") + F.col("windows") + (self.length - 1)).alias("span")
-        found = [join_counted(rows, _again(kinds).drop("one"), [*NODE, "ctx"]).select("id", "key", span) for rows, kinds in zip(self.all, self.kinds, strict=True)]
+        found = [rows.select("id", "key", span) for rows in self.again]
         found += [_small(rows, self.length) for rows in self.small]
         return _union(found).groupBy("id", "key").agg(F.collect_set("span").alias("spans"))
 
@@ -428,6 +441,11 @@ def _again(kinds: DataFrame) -> DataFrame:
     return kinds.where(F.col("n") > 1).select(*NODE, "ctx", "one", "n")
 
 
+def _with_kind(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Contexts that occur again as a whole."""
+    return join_counted(rows, _again(kinds).drop("one"), [*NODE, "ctx"])
+
+
 def _apart(rows: DataFrame, large: DataFrame) -> DataFrame:
     """Rows whose group is not a large one."""
     return join_counted(rows, large, NODE, "left").where(F.col("large").isNull()).drop("large")
