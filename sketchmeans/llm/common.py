@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -66,8 +68,24 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/sketchmeans/{spark.sparkContext.applicationId}"
 
 
+#: Folders of the scopes that are open, the innermost last.
+_SCOPES: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_SCOPES[-1] if _SCOPES else own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(spark: SparkSession, what: str) -> Iterator[None]:
+    """Tables that operators write in here go when the block ends, by when their results must be written elsewhere."""
+    path = new_path(spark, what)
+    _SCOPES.append(path)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(path)
+        remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from sketchmeans.llm import mixing, toxicity
+from sketchmeans.llm import common, mixing, toxicity
 from sketchmeans.llm.common import EDGES
 from tests.llm.test_operators import LONG, brute_components, brute_tiles, low, words_of
 
@@ -168,8 +168,13 @@ def test_stages(spark, folder, tmp_path):
             assert (len(got) == len(rows)) == (name == "line_dedup")
         if name != "mixing":
             assert docs.columns == list(P.COLUMNS)
-    whole = P.run(spark, folder).collect()
-    assert sorted(map(repr, whole)) == sorted(map(repr, docs.collect()))
+    common.clean(spark)
+    out = P.run(spark, folder)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+    # Of all that the stages have written, the last one's table is left.
+    where = spark._jvm.org.apache.hadoop.fs.Path(common.own_dir(spark))
+    left = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    assert len(left) == 1 and left[0].startswith("pipeline-mixing")
 
 
 def test_stages_of_nothing(spark, folder):
@@ -181,8 +186,6 @@ def test_stages_of_nothing(spark, folder):
 
 def test_own_folder_goes(spark):
     """Nothing of a run is left once it is cleaned."""
-    from sketchmeans.llm import common
-
     common.materialize(spark.range(3).withColumn("x", F.lit(1)), "t")
     where = spark._jvm.org.apache.hadoop.fs.Path(common.own_dir(spark))
     system = where.getFileSystem(spark._jsc.hadoopConfiguration())
