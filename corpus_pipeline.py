@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchmeans.llm.common import materialize, new_path, remove
+from sketchmeans.llm.common import materialize, new_path, remove, scope
 from sketchmeans.llm.decontaminate import decontaminate
 from sketchmeans.llm.line_dedup import line_dedup
 from sketchmeans.llm.minhash import near_duplicates
@@ -86,11 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; a stage's table goes once the next has been written."""
+    """The last stage's rows; what a stage writes for itself goes once its result is written, and that once the next one's is."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark, f"stage-{name}"):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             remove(spark, before)
         docs, before = spark.read.parquet(path), path
