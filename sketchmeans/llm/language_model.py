@@ -52,14 +52,6 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
-def bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From counts of bytes (nodes, 256), zeros and ones of each of the 255 decisions, at heap positions 1 to 255."""
-    heap = np.concatenate([np.zeros_like(counts), counts], axis=1).astype(float)
-    for q in range(255, 0, -1):
-        heap[:, q] = heap[:, 2 * q] + heap[:, 2 * q + 1]
-    return heap[:, 0::2], heap[:, 1::2]
-
-
 def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of decisions of inner nodes: log weighted probability, and weight of the node's own estimate."""
     own = log_kt(zeros, ones)
@@ -186,76 +178,6 @@ class GramTable:
         return out
 
 
-class Tree:
-    """A tree in memory, pruned to the contexts it is given; the query doesn't use it, as its own is not pruned.
-
-    levels[d]: sorted contexts of d bytes (the latest lowest) and their byte counts (contexts, 256).
-    """
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        # A context's node needs the nodes of all its shorter ones; as these are seen as often, it has them.
-        self.levels = levels
-        sizes = [len(c) for c, _ in levels]
-        base = np.concatenate([[0], np.cumsum(sizes)])
-        parents = [np.searchsorted(levels[d - 1][0], c & ((1 << (8 * (d - 1))) - 1)) for d, (c, _) in enumerate(levels) if d]
-        bits = [bit_counts(c) for _, c in levels]
-        own = [log_kt(*b) for b in bits]
-        weighted = [None] * len(levels)
-        stay = [None] * len(levels)
-        for d in range(len(levels) - 1, -1, -1):
-            if d == len(levels) - 1 or not len(levels[d + 1][0]):
-                weighted[d], stay[d] = own[d], np.ones_like(own[d])
-                continue
-            below = np.zeros_like(own[d])
-            np.add.at(below, parents[d], weighted[d + 1])
-            rest = levels[d][1].astype(np.int64).copy()
-            np.subtract.at(rest, parents[d], levels[d + 1][1])
-            below += log_kt(*bit_counts(rest))
-            inner = np.isin(np.arange(len(own[d])), parents[d])[:, None]
-            mixed = np.logaddexp(own[d], below) - np.log(2)
-            weighted[d] = np.where(inner, mixed, own[d])
-            stay[d] = np.where(inner, np.exp(own[d] - np.log(2) - mixed), 1.0)
-        self.table = np.empty((base[-1], 256), np.float32)
-        done = left = None
-        for d in range(len(levels)):
-            ones = (bits[d][1] + 0.5) / (bits[d][0] + bits[d][1] + 1)
-            if d:
-                done, left = done[parents[d - 1]], left[parents[d - 1]]
-            else:
-                done, left = np.zeros_like(ones), np.ones_like(ones)
-            self.table[base[d] : base[d + 1]] = self._bytes(done + left * ones)
-            done, left = done + left * stay[d] * ones, left * (1 - stay[d])
-        # Steps of the walk: a node and the byte before; nodes from `total` on stand for "no deeper" and stay.
-        total = self.total = int(base[-1])
-        self.step = np.arange(total, 2 * total, dtype=np.int32)[:, None].repeat(256, axis=1)
-        self.step = np.concatenate([self.step, self.step])
-        for d in range(1, len(levels)):
-            self.step[base[d - 1] + parents[d - 1], levels[d][0] >> (8 * (d - 1))] = base[d] + np.arange(sizes[d], dtype=np.int32)
-
-    @staticmethod
-    def _bytes(ones: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte from the probability of a one at each decision."""
-        symbols = np.arange(256)
-        out = np.zeros((len(ones), 256))
-        ones = np.clip(ones, 1e-12, 1 - 1e-12)
-        for k in range(8):
-            node = (1 << k) | (symbols >> (8 - k))
-            bit = (symbols >> (7 - k)) & 1
-            p = ones[:, node]
-            out += np.log10(np.where(bit, p, 1 - p))
-        return out
-
-    def scores(self, joined: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte of an array after its first DEPTH bytes."""
-        n = len(joined) - DEPTH
-        node = np.zeros(n, np.int64)
-        step, width = self.step.ravel(), np.int64(256)
-        for d in range(1, DEPTH + 1):
-            node = step[node * width + joined[DEPTH - d : DEPTH - d + n]].astype(np.int64)
-        node[node >= self.total] -= self.total
-        return self.table.ravel()[node * width + joined[DEPTH:]]
-
-
 def joined_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Texts in one array, each after DEPTH end bytes and before one; start of each text in it, and the end of the last."""
     raw = np.frombuffer(b"\xff" * DEPTH + (b"\xff" * DEPTH).join(texts) + b"\xff", np.uint8)
@@ -387,28 +309,6 @@ def least_count(logs: DataFrame) -> int:
     return 0
 
 
-def fit_tree(train: DataFrame, share: float) -> Tree:
-    """The tree in memory of the contexts that are at least such a share of all bytes."""
-    grams = materialize(count_grams(train), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    depth = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
-    symbols = grams.select(depth.alias("depth"), "gram", "n").select("depth", F.expr("(gram >> 8) & (shiftleft(1L, 8 * depth) - 1)").alias("context"), F.expr("cast(gram & 255 as int)").alias("symbol"), "n")
-    by = symbols.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"))
-    often = symbols.groupBy("depth", "context").agg(F.sum("n").alias("all")).where((F.col("all") >= share * total) | (F.col("depth") == 0)).drop("all")
-    rows = by.join(often, ["depth", "context"]).toArrow()
-    d, c, s, n = (rows[x].to_numpy() for x in ("depth", "context", "symbol", "n"))
-    levels = []
-    for k in range(DEPTH + 1):
-        at = d == k
-        contexts, where = np.unique(c[at].astype(np.int64), return_inverse=True)
-        if not k and not len(contexts):
-            contexts = np.zeros(1, np.int64)
-        counts = np.zeros((len(contexts), 256), np.int64)
-        counts[where, s[at]] = n[at]
-        levels.append((contexts, counts))
-    return Tree(levels)
-
-
 def count_words(train: DataFrame) -> DataFrame:
     """(word, n): counts of 64-bit hashes of lower-cased words."""
 

@@ -19,9 +19,10 @@ from sketchmeans.llm.common import batches, plain
 
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "quote", "symbol", "other", "wide")
 SYMBOLS = b"#*$%&|<>"
-#: A word is common in a language if it is at least this share of its words.
+#: A word is common in a language if it is at least this share of its words. A parameter: it bounds what the driver holds.
 COMMON_SHARE = 0.002
-#: A language has a reference of its own if it is at least this share of all words; others use that of all languages.
+#: A language has a reference of its own if it is at least this share of all words; others use that of all languages. A
+#: parameter, too: with 0 every language has its own, and as many references as there are languages go to the tasks.
 LANG_SHARE = 0.0001
 #: Distances above these fail, at the least numbers of words given; below that the test is not made.
 MAX_CLASS_DISTANCE, CLASS_MIN_WORDS = 0.31, 50
@@ -77,8 +78,14 @@ def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, in
     return len(words), points, int(chars[CLASSES.index("symbol")]), len(lines) - len(set(lines)), repeat_words(words)
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """For each language, "" for all: class distribution, number of each common word, distribution of these and the rest."""
+def references(docs: DataFrame, common_share: float = COMMON_SHARE, lang_share: float = LANG_SHARE) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
+    """For each language, "" for all: class distribution, number of each common word, distribution of these and the rest.
+
+    `docs` is (lang, text). A null language is "" and a null text has no words; without any word there are no references. Every
+    row counts, repeated ones too.
+    """
+    if not 0 < common_share <= 1 or not 0 <= lang_share <= 1:
+        raise ValueError("common_share must be in (0, 1], lang_share in [0, 1]")
 
     def count(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -110,14 +117,14 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
     try:
         totals = counts.where(F.col("class") == -2).groupBy("lang").agg(F.sum("n").alias("n"))
         whole = totals.agg(F.sum("n")).first()[0] or 0
-        known = {r["lang"]: r["n"] for r in totals.where(F.col("n") >= max(1, LANG_SHARE * whole)).collect()}
+        known = {r["lang"]: r["n"] for r in totals.where(F.col("n") >= max(1, lang_share * whole)).collect()}
         if not known:
             return {}
         kept = counts.where(F.col("lang").isin(list(known)))
-        least = F.create_map(*[F.lit(v) for k, n in known.items() for v in (k, COMMON_SHARE * n)])
+        least = F.create_map(*[F.lit(v) for k, n in known.items() for v in (k, common_share * n)])
         common = kept.where((F.col("class") == -1) & (F.col("n") >= least[F.col("lang")])).collect()
         classes = kept.where(F.col("class") >= 0).collect()
-        every = counts.where(F.col("class") == -1).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_SHARE * whole).collect()
+        every = counts.where(F.col("class") == -1).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= common_share * whole).collect()
         all_classes = counts.where(F.col("class") >= 0).groupBy("class").agg(F.sum("n").alias("n")).collect()
     finally:
         counts.unpersist()
@@ -148,14 +155,15 @@ def distances(text: bytes, words: list[bytes], reference) -> tuple[float | None,
     return a, b
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, common_share: float = COMMON_SHARE, lang_share: float = LANG_SHARE) -> DataFrame:
     """One row for each document: its id, base counts, the two distances (null where too short to test), base_failed, kept.
 
-    Null texts have no words, and fail the base. A null or rare language is compared with all languages together. Rows
-    that repeat are judged each; ids may be null; an empty table gives an empty one; other columns are left out.
+    Null texts have no words, and fail the base. A language is compared with its own reference if it has lang_share of all words or
+    more (0: always), else with that of all languages together, as a null one is. Words of common_share or more of a
+    language make its histogram, with the rest as one. Rows that repeat are judged each; ids may be null; an empty table gives an empty one; other columns are left out.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = references(docs)
+    known = references(docs, common_share, lang_share)
 
     def judge(it: Iterator) -> Iterator:
         import pyarrow as pa

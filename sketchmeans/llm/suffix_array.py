@@ -513,7 +513,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 ORACLE = """
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-g AS (SELECT r, i, md5(x[2 * i + 1:2 * i + 400]) AS h FROM (SELECT r, x, unnest(range(greatest(length(x) // 2, 199) - 199)) AS i FROM w)),
+p AS (SELECT r, n, s, x[2 * s + 1:2 * s + 4398] AS y FROM (SELECT r, x, length(x) // 2 AS n, unnest(range(0, greatest(length(x) // 2, 199) - 199, 2000)) AS s FROM w)),
+g AS (SELECT r, s + i AS i, md5(y[2 * i + 1:2 * i + 400]) AS h FROM (SELECT r, s, y, unnest(range(least(2000, n - 199 - s))) AS i FROM p)),
 s AS (SELECT r, i FROM g JOIN (SELECT h FROM g GROUP BY h HAVING count(*) > 1) USING (h)),
 b AS (SELECT b.r, j, y, max(i) OVER (PARTITION BY b.r ORDER BY j) >= j - 199 AS gone
       FROM (SELECT r, unnest(range(length(x) // 2)) AS j, unnest(regexp_extract_all(x, '..')) AS y FROM w) b LEFT JOIN s ON s.r = b.r AND s.i = b.j),

@@ -251,6 +251,65 @@ def test_quality_table(spark, duck):
     assert np.mean([bool(q) == k for q, k in judged]) > 0.9
 
 
+def brute_quality(rows, common_share=0.002, lang_share=0.0001):
+    """(id, class distance, word distance, kept) of rows (id, text, lang), with nothing but counters and logarithms."""
+    groups = [("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("space", " \t\x0b\x0c\r"), ("line", "\n"), ("stop", ".,;:!?"), ("quote", "'\"()[]{}-"), ("symbol", "#*$%&|<>")]
+    kind = lambda ch: next((g for g, chars in groups if ch in chars), "other" if ord(ch) < 128 else "wide")
+    bare = lambda t: [w for w in (low(w).strip(".,;:!?'\"()[]{}-") for w in words_of(t)) if w]
+    share = lambda c: {k: n / sum(c.values()) for k, n in c.items()}
+
+    def distance(p, q):
+        part = lambda a, b: sum(v * math.log2(2 * v / (v + b.get(k, 0))) for k, v in a.items() if v)
+        return math.sqrt(max(0, (part(p, q) + part(q, p)) / 2))
+
+    chars, plain, n = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), collections.Counter()
+    for _, text, lang in rows:
+        for key in {lang or "", None}:
+            chars[key].update(map(kind, text or ""))
+            plain[key].update(bare(text))
+            n[key] += len(words_of(text))
+    own = {k for k in n if k is not None and n[k] >= max(1, lang_share * n[None])}
+    out = []
+    for i, text, lang in rows:
+        key = (lang or "") if lang and lang in own else None
+        words, base = words_of(text), brute_base(text or "")
+        failed = len(words) < 50 or 100 * base[4] > 50 * len(words)
+        a = b = None
+        if len(words) >= 50:
+            a = distance(share(collections.Counter(map(kind, text))), share(chars[key]))
+            common = {w for w, k in plain[key].items() if k >= common_share * n[key]}
+            fold = lambda c, total: {**{w: k / total for w, k in c.items() if w in common}, None: (total - sum(k for w, k in c.items() if w in common)) / total}  # noqa: B023, E731
+            seen = collections.Counter(bare(text))
+            b = distance(fold(seen, sum(seen.values())), fold(plain[key], n[key])) if seen else None
+        out.append((i, a, b, not failed and (a is None or a <= 0.31) and (b is None or b <= 0.47)))
+    return out
+
+
+def same_quality(got, want):
+    key = lambda r: repr((r[0], r[3], *(None if v is None else round(v, 6) for v in r[1:3])))
+    got, want = sorted(got, key=key), sorted(want, key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[0] == w[0] and g[3] == w[3] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(g[1:3], w[1:3], strict=True)), (g, w)
+
+
+def test_quality_verdict_of_the_whole_table(spark, duck):
+    """References, both distances and the verdict of every document, recomputed."""
+    rows = duck.sql("select doc_id, text, lang from documents").fetchall()
+    got = QUERIES["op4_quality"](spark, DATA).select("doc_id", "class_distance", "word_distance", "kept").collect()
+    same_quality(map(tuple, got), brute_quality(rows))
+
+
+@pytest.mark.parametrize("lang_share", [0, 0.2])
+def test_quality_of_odd_rows_and_rare_languages(spark, lang_share):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "of", "cat", "Dog,", "x#y", f"w{i}", "mañana"]) for _ in range(rng.randint(40, 90))), rng.choice(["en", "en", "en", "de", None])) for i in range(60)]
+    rows += [(i, t, "xx" if k % 2 else None) for k, (i, t) in enumerate(odd_rows())] + [(500, "rare " * 30 + " ".join(f"r{k}" for k in range(40)), "rare")]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, lang string, n_words int, kept string")
+    got = quality.quality(docs, lang_share=lang_share).select("doc_id", "class_distance", "word_distance", "kept").collect()
+    same_quality(map(tuple, got), brute_quality(rows, lang_share=lang_share))
+
+
 def test_js_distance():
     assert quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1
     assert quality.js_distance(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
@@ -434,18 +493,6 @@ def brute_tree(texts, depth=4):
     return score
 
 
-def test_context_tree(spark):
-    texts = [b"abracadabra", b"banana band", b"", b"abra"]
-    frame = spark.createDataFrame([(t.decode(),) for t in texts], "text string")
-    tree, brute = language_model.fit_tree(frame, share=0.0), brute_tree(texts)
-    for t in [*texts, b"zebra", b"an"]:
-        raw, _ = language_model.joined_texts([t])
-        assert abs(float(tree.scores(raw)[: len(t) + 1].sum()) - brute(t)) < 1e-4
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(axis=1), 1, atol=1e-4)
-    pruned = language_model.fit_tree(frame, share=0.2)
-    assert len(pruned.table) < len(tree.table) and np.allclose((10.0 ** pruned.table.astype(float)).sum(axis=1), 1, atol=1e-4)
-
-
 @pytest.mark.parametrize("most", [1 << 21, 40])
 def test_language_model_scores_every_context(spark, monkeypatch, most):
     """Scores of the query by brute force, of a corpus with many rare contexts; with all grams in the table, and with few."""
@@ -670,3 +717,26 @@ def test_warc_pushes_filters(spark, tmp_path):
     cut.write_bytes(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort")
     with pytest.raises(ValueError, match="cut off"):
         list(warc.WarcReader({"path": str(cut)}).records(open(cut, "rb")))
+
+
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """Pages that share a template and link to nothing: members and comparisons grow with the pages, not with their square."""
+    compared = []
+    near, tile = minhash._near_members, 20
+    monkeypatch.setattr(minhash, "TILE", tile)
+
+    def counted(members, *a):
+        bands = members.groupBy("band").agg(F.first("others").alias("others"), F.count(F.lit(1)).alias("n")).collect()
+        compared[-1] += sum(b.others * b.n for b in bands)
+        return near(members, *a)
+
+    monkeypatch.setattr(minhash, "_near_members", counted)
+    boiler = [f"t{i}" for i in range(90)]
+    for n in (150, 600):
+        compared.append(0)
+        rng = random.Random(n)
+        rows = [(i, " ".join(boiler + [f"u{rng.random()}" for _ in range(25)])) for i in range(n)]
+        rows += [(n + i, rows[i][1].rsplit(" ", 2)[0] + " one two") for i in range(5)]  # five of them with a near copy
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows)).collect()}
+        assert got == {i: i if i < n else i - n for i in range(n + 5)}
+    assert compared[1] <= 3 * 4 * max(compared[0], 1) and compared[1] < 600 * 600
