@@ -13,7 +13,10 @@
    links leave in several parts are searched again for links across parts: members outside a bucket's largest part (rows)
    against all members (columns), in tiles of at most TILE of each. Sketches are compared first; only members with a
    partner near enough go on to a second search with their full sets, in tiles of SET_TILE. A task compares pairs but
-   gives back members or links, never more than it has members. No bucket is capped.
+   gives back members or links, never more than it has members. No bucket is capped. One with more than TILE members
+   outside its largest part, as pages of one template make that are not near duplicates, would take time with the square
+   of them; its members meet by their rarest shingles instead: of n shingles, the n - ceil(t * n) + 1 that are rarest among all such
+   members. Two sets as similar as t share one of these, so no link is lost, and what a template repeats is not among them.
 5. Components come from large-star and small-star rounds, each a grouped minimum and an equi-join, cut by checkpoint().
 """
 
@@ -215,6 +218,27 @@ def _split_buckets(members: DataFrame) -> DataFrame:
     return join_counted(members, materialize(keys, "split-buckets"), ["band"])
 
 
+def _rare_buckets(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(band, node, label) of members (node, label) by the rare shingles in which a link must show; `band` is the shingle."""
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for nodes, found in batches(it, ["node", "shingle_set"]):
+            for node, raw in zip(nodes, found, strict=True):
+                own = np.frombuffer(raw, np.int64)
+                whole = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node)), pa.array(np.full(len(own), whole)), pa.array(np.full(len(own), len(own)))], ["band", "node", "whole", "size"])
+
+    each = sets.select("node", "shingle_set").mapInArrow(run, "band long, node long, whole long, size long")
+    counts = materialize(each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("band", F.col("n").alias("times"), "n"), "shingle-counts")
+    shared = join_counted(each, counts, ["band"]).groupBy("node", "whole", "size").agg(F.array_sort(F.collect_list(F.struct("times", "band"))).alias("shared"))
+    # Shingles of one set alone come first in the order; they take places of the prefix and meet nobody.
+    places = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1 - (F.col("size") - F.size("shared"))
+    rare = shared.where(places > 0).select("node", F.explode(F.slice("shared", F.lit(1), places.cast("int"))).alias("x")).select(F.col("x.band").alias("band"), "node")
+    return rare.distinct().join(members.distinct(), "node").select("band", "node", "label")
+
+
 def _tiles(members: DataFrame, tile: int) -> DataFrame:
     """Members dealt to the tiles of their bucket, as rows if outside its largest part, and as columns."""
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / tile)).cast("int")
@@ -252,7 +276,8 @@ def _pairs_of_tile(rows: list[tuple], threshold: int, slack: float) -> Iterator[
         return
     regs = np.stack([np.frombuffer(r[8], np.uint16) for r in columns])
     nodes, labels, sizes = (np.array([r[k] for r in columns]) for k in (4, 5, 7))
-    band = int(np.flatnonzero(band_hashes(regs[:1])[0] == rows[0][0])[0])
+    # A rare shingle is no band; its pairs may come from several of them.
+    band = next(iter(np.flatnonzero(band_hashes(regs[:1])[0] == rows[0][0]).tolist()), 0)
     before = regs[:, : band * ROWS].reshape(len(columns), band, ROWS)
     for r in left:
         own = np.frombuffer(r[8], np.uint16)
@@ -357,6 +382,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = one.join(one.select(F.col("b").alias("a"), F.col("a").alias("top")), "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("label"))
     labelled = members.where(F.col("size") > 2).join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     again = checkpoint(_split_buckets(materialize(labelled, "labelled")))
+    wide = again.where(F.col("others") > TILE).select("node", "label")
+    rare = _rare_buckets(wide, _sets(named, checkpoint(wide.select(F.col("node").alias("id")).distinct())), threshold)
+    again = checkpoint(again.where(F.col("others") <= TILE).unionByName(_split_buckets(materialize(rare, "rare-shingles"))))
     sketches = _among(nodes, "node", checkpoint(again.select("node").distinct())).select("node", "n_shingles", "registers")
     near = checkpoint(_near_members(again.join(sketches, "node"), threshold, slack))
     again = _split_buckets(near)
