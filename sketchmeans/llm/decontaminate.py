@@ -3,9 +3,10 @@
 Words are lower-cased (A-Z) and freed of ASCII punctuation. Windows of `min_match` words shared with a
 benchmark item seed a comparison; the item is then tiled with the longest matches that don't overlap, longest first, as
 running Karp-Rabin finds them, and a document is contaminated if tiles cover enough of an item, in whatever order the
-document has its parts. The benchmark goes to the tasks in blocks of some BLOCK_WORDS words. Where there are several,
-each has a pass of its own over the documents, which writes what it finds and drops its block before the next is read;
-one block needs no such table. Texts are neither collected nor, with one block, moved.
+document has its parts. A benchmark of at most BLOCK_WORDS words goes to the tasks as a whole, and texts aren't moved. A larger
+one stays a table: in one pass documents give the seeds that a bitmap of the benchmark's lets through, some bits for each
+seed and BITMAP_BITS at most; these meet the benchmark's seeds in a join counted for hot ones, and only
+documents that share a seed are moved, to the items that share it.
 """
 
 from __future__ import annotations
@@ -13,13 +14,12 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchmeans.llm.common import EDGES, LOWER, MULTIPLIER, UPPER, WORD, WordHash, batches, materialize, mix64, row_key, windows64
+from sketchmeans.llm.common import EDGES, LOWER, MULTIPLIER, UPPER, WORD, WordHash, batches, join_counted, materialize, mix64, row_key, windows64
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.6
@@ -27,6 +27,10 @@ MIN_COVERAGE = 0.6
 MIN_WORDS = 8
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 20
+#: Bits of the bitmap of a large benchmark's seeds, as a power of two; 2^30 are 128 MB in each worker. Where seeds are so many
+#: that it lets most through, more rows go to the join, and nothing else changes.
+BITMAP_BITS = 30
+PIECE_BITS = 16
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -196,13 +200,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text = F.col("text").cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.expr(rf"regexp_count(text, '{WORD.replace(chr(92), chr(92) * 2)}')"))).first()[0] or 0
-    blocks = max(1, ceil(total / block_words))
     kept = [f"keep_{i}" for i in range(len(keep))]
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
-    if blocks == 1:
-        frame = _pass(frame, _block(items, min_match))
-    else:
-        frame = _passes(frame, materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "items"), blocks, min_match)
+    frame = _pass(frame, _block(items, min_match)) if total <= block_words else _joined(frame, materialize(items, "items"), min_match, total)
     best = F.array_max(F.transform("found", lambda x: F.struct(x["coverage"].alias("coverage"), (-x["item_id"]).alias("item"))))
     words = lambda x: F.aggregate(x["tiles"], F.lit(0), lambda n, t: n + t["words"])
     n = F.coalesce(F.size(F.filter("found", lambda x: (x["coverage"] >= min_coverage) & (words(x) >= min_words))), F.lit(0))
@@ -219,44 +219,126 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _block(items: DataFrame, min_match: int):
-    """A block of items as a broadcast."""
+    """The whole benchmark as a broadcast."""
     rows = sorted((r["item_id"], r["text"]) for r in items.select("item_id", "text").collect())
     return items.sparkSession.sparkContext.broadcast(Benchmark([(i, t.encode()) for i, t in rows], min_match))
 
 
-def _passes(frame: DataFrame, items: DataFrame, blocks: int, min_match: int) -> DataFrame:
-    """Adds what several blocks find, one after the other; rows that find something are named by their content."""
+def _seeds_of(words: np.ndarray, n: int) -> np.ndarray:
+    """Distinct seeds of n words, told apart from those of other lengths."""
+    return np.unique(mix64(windows64(words, n) + np.uint64(n)))
+
+
+def _seeded(frame: DataFrame, keys: list[str], sizes: list[int] | None, min_match: int, bitmap) -> DataFrame:
+    """(keys, seed) of texts: of items all seeds of their own size, of documents those of `sizes` that the bitmap lets through."""
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = WordHash()
+        for batch in it:
+            (texts,) = next(batches([batch], ["text"]))
+            out, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for k, text in enumerate(texts):
+                own = words.of(tokens(text or b""))
+                for n in sizes or ([min(min_match, len(own))] if len(own) else []):
+                    found = _seeds_of(own, n)
+                    if bitmap is not None:
+                        at = (found >> np.uint64(64 - bitmap.value[0])).astype(np.int64)
+                        found = found[bitmap.value[1][at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+                    out.append(found)
+                    rows.append(np.full(len(found), k))
+            row = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(row) for c in range(len(keys))], pa.array(np.concatenate(out).view(np.int64))], [*keys, "seed"])
+
+    return frame.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", seed long").distinct()
+
+
+def _bitmap(seeds: DataFrame, bits: int):
+    """(bits, bytes) of a bitmap of the seeds' first bits, made piece by piece by tasks: what comes here is 2^bits / 8 bytes at most."""
+    place = F.shiftrightunsigned("seed", 64 - bits)
+    places = seeds.select(F.shiftright(place, PIECE_BITS).alias("piece"), place.bitwiseAND((1 << PIECE_BITS) - 1).cast("int").alias("at")).distinct()
+    whole = np.zeros(1 << max(0, bits - 3), np.uint8)
+    size = min(len(whole), 1 << (PIECE_BITS - 3))
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for batch in it:
+            piece, at = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            for p in np.unique(piece).tolist():
+                own = at[piece == p]
+                np.bitwise_or.at(held.setdefault(p, np.zeros(size, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["piece", "bytes"])
+
+    for r in places.repartition("piece").mapInArrow(run, "piece long, bytes binary").toLocalIterator():
+        whole[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["bytes"], np.uint8)
+    return seeds.sparkSession.sparkContext.broadcast((bits, whole))
+
+
+def _joined(frame: DataFrame, items: DataFrame, min_match: int, total: int) -> DataFrame:
+    """Adds what a large benchmark finds; rows of documents and items are named by their content."""
     keyed = frame.select("*", *row_key(F.col("id"), F.col("text")))
-    found = None
-    for b in range(blocks):
-        block = _block(items.where(F.col("block") == b), min_match)
-        hits = _pass(keyed.select("key_a", "key_b", "text"), block).where(F.col("found").isNotNull()).drop("text")
-        hits = materialize(hits.groupBy("key_a", "key_b").agg(F.first("found").alias("found")), f"found-{b}")
-        block.destroy()
-        found = hits if found is None else found.unionByName(hits)
-    found = found.groupBy("key_a", "key_b").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    named = items.select(F.xxhash64("item_id", "text").alias("item"), F.xxhash64(F.lit(5), "text", "item_id").alias("item_b"), "item_id", "text")
+    seeds = materialize(_seeded(named, ["item", "item_b"], None, min_match, None), "item-seeds")
+    lengths = F.size(F.filter(F.split(F.translate("text", EDGES.decode(), ""), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    sizes = sorted(r[0] for r in named.select(F.least(F.lit(min_match), lengths).alias("n")).where(F.col("n") > 0).distinct().collect())
+    if not sizes:
+        return frame.withColumn("found", F.expr(f"cast(null as {FOUND})"))
+    bits = min(BITMAP_BITS, max(PIECE_BITS, (16 * total).bit_length()))
+    bitmap = _bitmap(seeds, bits)
+    hits = materialize(_seeded(keyed, ["key_a", "key_b"], sizes, min_match, bitmap), "document-seeds")
+    bitmap.destroy()
+    times = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    # A seed in many documents and many items makes a pair of each: all of them are asked for, as each item has its own coverage.
+    lists = materialize(seeds.groupBy("seed").agg(F.collect_list(F.struct("item", "item_b")).alias("items")).join(times, "seed"), "shared-seeds")
+    pairs = join_counted(hits, lists, ["seed"]).select("key_a", "key_b", F.explode("items").alias("x")).select("key_a", "key_b", "x.item", "x.item_b").distinct()
+    pairs = materialize(pairs, "pairs")
+    wanted = materialize(pairs.groupBy("item", "item_b").agg(F.count(F.lit(1)).alias("n")).join(named, ["item", "item_b"]), "wanted-items")
+    own = join_counted(pairs, wanted, ["item", "item_b"], width=400).groupBy("key_a", "key_b").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = WordHash()
+        for batch in it:
+            texts, lists = next(batches([batch], ["text", "items"]))
+            found = [matched(Benchmark(sorted((x["item_id"], x["text"].encode()) for x in own), min_match), text, words) for text, own in zip(texts, lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _found_type())], ["key_a", "key_b", "found"])
+
+    both = keyed.select("key_a", "key_b", "text").dropDuplicates(["key_a", "key_b"]).join(own, ["key_a", "key_b"])
+    found = materialize(both.mapInArrow(run, f"key_a long, key_b long, found {FOUND}"), "found")
     return keyed.join(found, ["key_a", "key_b"], "left").drop("key_a", "key_b")
 
 
+def _found_type():
+    import pyarrow as pa
+
+    return pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())])))]))
+
+
+def matched(block: Benchmark, text: bytes | None, words: WordHash) -> list[dict] | None:
+    """What a block finds in a text, as rows of FOUND."""
+    own = block.matches(words.of(tokens(text))) if text else []
+    return [{"item_id": i, "coverage": c, "tiles": [{"item_start": p, "doc_start": t, "words": k} for p, t, k in tiles]} for i, c, tiles in own] or None
+
+
 def _pass(frame: DataFrame, block) -> DataFrame:
-    """Adds what one block of the benchmark finds; texts pass through as Arrow columns, untouched."""
+    """Adds what the benchmark finds; texts pass through as Arrow columns, untouched."""
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         words = WordHash()
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())])))]))
         for batch in it:
             (texts,) = next(batches([batch], ["text"]))
-            found = []
-            for text in texts:
-                own = block.value.matches(words.of(tokens(text))) if text else []
-                found.append([{"item_id": i, "coverage": c, "tiles": [{"item_start": p, "doc_start": t, "words": k} for p, t, k in tiles]} for i, c, tiles in own] or None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([matched(block.value, text, words) for text in texts], _found_type())], [*batch.schema.names, "found"])
 
     return frame.mapInArrow(run, frame.withColumn("found", F.expr(f"cast(null as {FOUND})")).schema)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return decontaminate(docs, items).select("doc_id", "contaminated", "n_items", "item_id", F.round("coverage", 6).alias("coverage"))
+    return decontaminate(docs, items, min_words=0).select("doc_id", "contaminated", "n_items", "item_id", F.round("coverage", 6).alias("coverage"))
