@@ -339,7 +339,11 @@ def _cross_links(members: DataFrame, threshold: int, slack: float) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in links (a, b): root is the smallest node reachable. Stars until nothing changes."""
+    """(node, root) of every node in links (a, b): root is the smallest node reachable. Stars until nothing changes.
+
+    Links may repeat and go either way; one from a node to itself, or with a null end, is none, and a node that has no other is
+    not in the result. No links give an empty table.
+    """
     edges = checkpoint(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:

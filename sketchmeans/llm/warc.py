@@ -243,7 +243,11 @@ class Buffered:
 
 
 def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The records under a path; load anew for each set of filters, since Spark keeps those it has pushed with the relation."""
+    """The records under a path; load anew for each set of filters, since Spark keeps those it has pushed with the relation.
+
+    A folder without archives has no records; empty and hidden files are passed over, an archive that is cut off or has no valid
+    header raises ValueError where it is read. Records that repeat are all returned; headers that lack are null.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").options(**{k: str(v).lower() for k, v in options.items()}).load(path)
